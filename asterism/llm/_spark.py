@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import zipfile
+from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch sent to Python: texts can be long, so few.
 BATCH_ROWS = 500
 _root: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,8 +51,24 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def _ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once; they need not have it installed."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    d = tempfile.mkdtemp(prefix="package-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    with zipfile.ZipFile(path := f"{d}/{top.name}.zip", "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 def small_batches(df: DataFrame) -> None:
-    """Bounds the Arrow batches of Python operators; a smaller setting stays."""
+    """Readies the session for Python operators: this package on the executors, and bounded Arrow batches (a smaller setting stays)."""
+    _ship(df.sparkSession)
     conf = df.sparkSession.conf
     if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -107,22 +127,6 @@ def by_parts(df: DataFrame, n: int, key: str, *order: str) -> DataFrame:
     return df.repartition(n, F.col(key)).sortWithinPartitions(key, *order)
 
 
-class Forest:
-    """Union-find over 0..n-1 that keeps the edges that joined something."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.edges: list[tuple[int, int]] = []
-
-    def join(self, i: int, others: np.ndarray) -> None:
-        """Joins i with each of others; labels stay flat, so this costs n only where something is joined."""
-        labels, at = np.unique(self.label[others], return_index=True)
-        new = labels != self.label[i]
-        if new.any():
-            self.edges += [(i, int(j)) for j in others[at[new]]]
-            self.label[np.isin(self.label, labels[new])] = self.label[i]
-
-
 def _local_forest(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each partition's edges as stars around the smallest node of each of their components."""
     root: dict[int, int] = {}
@@ -147,7 +151,7 @@ def _local_forest(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def components(edges: DataFrame, step: Callable[[str], None] | None = None) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for each node that has an edge.
 
     Local forests first, then alternating stars: every node hangs its larger
