@@ -33,7 +33,7 @@ from ._text import Words, mix64, seeds
 
 COORDINATES, POSTED, MISS = 64, 24, 1e-6
 LIST_BLOCK, SET_BLOCK, SET_TOTAL = 1024, 512, 400_000
-_CHUNK = 3 << 20
+_CHUNK = 2 << 20
 _ODD = seeds(4 * COORDINATES, 11).astype(np.uint32) | np.uint32(1)
 
 
@@ -291,7 +291,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sizes, _ = S.written(sizes, "groups")
     blocks = sizes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / SET_TOTAL)).alias("blocks"))
     members = sizes.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
-    sets = texts.join(members, "doc_id").mapInArrow(_sets(words), "rep long, component long, blocks long, shingles binary")
+    # always by merge: the number of members grows with the documents
+    sets = texts.join(members.hint("merge"), "doc_id").mapInArrow(_sets(words), "rep long, component long, blocks long, shingles binary")
     links = _block_pairs(sets, n, "component").mapInArrow(_confirm(percent), "a long, b long")
 
     linked = S.components(links)
