@@ -1,3 +1,30 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express on whole tables."""
 
-SQL: dict[str, str] = {}
+from .urls import BLOCK, HOSTS, RULES
+
+_RULES = ", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for v, r in RULES)
+_HOSTS = ", ".join(f"('{h}')" for h in HOSTS)
+
+SQL: dict[str, str] = {
+    "op4_url_filters": f"""
+WITH rules(verdict, host, path, rule) AS (VALUES {_RULES}),
+listed(host) AS (VALUES {_HOSTS}),
+parsed AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+hosts AS (SELECT DISTINCT host FROM parsed),
+bad AS (SELECT DISTINCT h.host FROM hosts h JOIN listed l ON h.host = l.host OR ends_with(h.host, '.' || l.host)),
+paths AS (SELECT DISTINCT host, path FROM parsed),
+ranked AS (
+  SELECT p.host, p.path, r.rule, r.verdict,
+         row_number() OVER (PARTITION BY p.host, p.path ORDER BY length(r.rule) DESC, length(r.host) DESC) AS n
+  FROM paths p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT p.page_id, p.host, p.path, r.rule,
+       coalesce(r.verdict, CASE WHEN b.host IS NULL THEN 'allow' ELSE '{BLOCK}' END) AS verdict
+FROM parsed p
+LEFT JOIN (SELECT * FROM ranked WHERE n = 1) r ON p.host = r.host AND p.path = r.path
+LEFT JOIN bad b ON p.host = b.host
+""",
+}
