@@ -1,11 +1,29 @@
 """DuckDB SQL for those queries of this subpackage that SQL can express on whole tables."""
 
+from .licenses import CONTAINMENT, PUNCTUATION, SHINGLE, TEMPLATES
 from .urls import BLOCK, HOSTS, RULES
 
 _RULES = ", ".join(f"('{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}')" for v, r in RULES)
 _HOSTS = ", ".join(f"('{h}')" for h in HOSTS)
 
+_QUOTE = "'"
+_TEMPLATES = ", ".join(f"({i}, '{name}', '{text.replace(_QUOTE, _QUOTE * 2)}')" for i, (name, text) in enumerate(TEMPLATES))
+
+
+def _shingles(text: str) -> str:
+    plain = f"translate(lower({text}), '{PUNCTUATION.replace(_QUOTE, _QUOTE * 2)}', '')"
+    words = f"list_filter(string_split_regex({plain}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    return f"(SELECT list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) FROM (SELECT {words} AS w))"
+
+
 SQL: dict[str, str] = {
+    "op3_license_scans": f"""
+WITH t(template, license, text) AS (VALUES {_TEMPLATES}),
+templates AS (SELECT template, license, {_shingles("text")} AS s FROM t),
+docs AS (SELECT doc_id, {_shingles("text")} AS s FROM documents WHERE text IS NOT NULL),
+pairs AS (SELECT doc_id, license, template, len(list_intersect(d.s, t.s)) AS shared, len(t.s) AS total FROM docs d, templates t)
+SELECT doc_id, license, template, shared, total, shared / total AS containment FROM pairs WHERE shared / total >= {CONTAINMENT}
+""",
     "op4_url_filters": f"""
 WITH rules(verdict, host, path, rule) AS (VALUES {_RULES}),
 listed(host) AS (VALUES {_HOSTS}),
