@@ -34,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 THREADS = 2
 #: Words that a worker keeps, besides those of one batch.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 800_000
 MARK = "▁"
 _CHUNK = 2 << 20
 # Piece types and model types of the model file's format.
