@@ -1 +1 @@
-
+"""Column expressions: exact integer arithmetic, predicates, dictionary codes."""

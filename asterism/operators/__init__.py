@@ -1 +1 @@
-
+"""Relational operators on DataFrames."""

@@ -1 +1 @@
-
+"""A serialisable relational plan and its compiler."""

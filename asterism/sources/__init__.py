@@ -1 +1 @@
-
+"""Reading tables and star views, and writing results."""

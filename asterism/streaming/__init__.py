@@ -1 +1 @@
-
+"""Reserved.  The engine answers batch queries only; it has no streaming operators."""
