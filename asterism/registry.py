@@ -15,6 +15,7 @@ from .operators.star import StarQuery
 from .plans import examples
 from .plans.compile import compile_plan
 from .plans.usage import semi_joins
+from .sources.readers import from_int32, parse_lines, to_int32
 from .sources.schema import schema
 from .sources.starviews import Star
 
@@ -88,14 +89,11 @@ def _delimited(spark: SparkSession, d: str) -> DataFrame:
     kinds = schema("supplier", coded=False)
     rows = _supplier_rows(spark, d, True)
     line = F.concat_ws("|", *[C(f.name).cast("string") if f.name in rows.columns else F.lit("-") for f in kinds.fields])
-    parsed = rows.select(F.from_csv(line, kinds.simpleString()[7:-1].replace(":", " "), {"sep": "|"}).alias("r"))
-    return parsed.select("r.s_suppkey", "r.s_city", "r.s_nation", "r.s_region")
+    return parse_lines(rows.select(line.alias("value")), "supplier", coded=False).select("s_suppkey", "s_city", "s_nation", "s_region")
 
 
 def _int32(spark: SparkSession, d: str) -> DataFrame:
     """Integers packed to four little-endian bytes and back, by the expressions of the raw column reader."""
-    from .sources.readers import from_int32, to_int32
-
     rows = _supplier_rows(spark, d, False)
     return rows.select(*[from_int32(to_int32(C(c))).alias(c) for c in rows.columns])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +24,15 @@ def register(spark: SparkSession, directory: str, names: Sequence[str], cache: b
 
 def delimited_table(spark: SparkSession, path: str, table: str, coded: bool = True, separator: str = "|") -> DataFrame:
     """A ``.tbl`` file with a declared schema; a separator at the line's end is allowed."""
-    return spark.read.schema(schema(table, coded)).option("mode", "FAILFAST").option("enforceSchema", True).csv(path, sep=separator)
+    return parse_lines(spark.read.text(path), table, coded, separator)
+
+
+def parse_lines(lines: DataFrame, table: str, coded: bool = True, separator: str = "|") -> DataFrame:
+    """(value) as rows of a table; a line that does not fit its schema raises."""
+    kinds = schema(table, coded)
+    line = F.when(F.size(F.split("value", re.escape(separator))) > len(kinds), F.regexp_replace("value", re.escape(separator) + "$", "")).otherwise(F.col("value"))
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds)
+    return lines.select(F.from_csv(line, ddl, {"sep": separator, "mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def write_delimited(df: DataFrame, path: str, separator: str = "|") -> None:

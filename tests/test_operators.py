@@ -1,0 +1,200 @@
+"""Operators on small frames, one decision each."""
+
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from asterism.functions import encode
+from asterism.functions.arith import operate
+from asterism.functions.predicates import Range, compare, logical, search
+from asterism.operators.star import StarQuery, unique_key
+from asterism.registry import queries
+from asterism.sources.readers import delimited_table, int32_columns, register, write_delimited, write_int32_columns
+from asterism.sources.schema import CODED, TABLES, ordinals, schema
+from asterism.sources.sink import print_result, result_lines, same_rows, save_distributed, save_result
+from asterism.sources.starviews import DIMENSIONS, Star
+
+C = F.col
+
+
+@pytest.fixture
+def fact(spark):
+    return spark.createDataFrame([(k, k % 3, k * 10, k + 1) for k in range(0, 8)], "k int, d int, q int, p int")
+
+
+@pytest.fixture
+def dim(spark):
+    return spark.createDataFrame([(1, 10, 0), (2, 20, 1), (4, 40, 1), (5, 50, 1), (7, 70, 0)], "key int, grp int, reg int")
+
+
+def test_semi_join_by_default_and_lookup_with_columns(fact, dim):
+    semi = StarQuery(fact).dimension(dim, "key", "k", C("reg") == 1).frame()
+    assert sorted(r.k for r in semi.collect()) == [2, 4, 5] and semi.columns == fact.columns
+    lookup = StarQuery(fact).dimension(dim, "key", "k", C("reg") == 1, ["grp"]).select("k", "grp").frame()
+    assert sorted(map(tuple, lookup.collect())) == [(2, 20), (4, 40), (5, 50)]
+
+
+def test_repeated_dimension_keys(spark, fact):
+    twice = spark.createDataFrame([(2, 1), (2, 2), (3, 3)], "key int, grp int")
+    assert not unique_key(twice, "key")
+    assert StarQuery(fact).dimension(twice, "key", "k").frame().count() == 2
+    assert StarQuery(fact).dimension(twice, "key", "k", None, ["grp"]).frame().count() == 3
+
+
+def test_star_filter_semi_plan(fact, dim):
+    plan = StarQuery(fact).where(C("q") > 10).where(C("p") < 8).dimension(dim, "key", "k").frame()._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+
+
+def test_dimension_keys_do_not_repeat(spark, data):
+    for name, key in DIMENSIONS.items():
+        assert unique_key(Star(spark, data).dimension(name), key)
+
+
+def test_fact_joins_only_what_it_needs(spark, data):
+    text = lambda columns: Star(spark, data).lineorder(columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in text(["lo_revenue", "lo_suppkey"])
+    assert text(["lo_orderdate"]).count("Join") == 1
+    assert text(["lo_orderdate", "lo_supplycost"]).count("Join") == 2
+    with pytest.raises(ValueError):
+        Star(spark, data).lineorder(["nothing"])
+    with pytest.raises(ValueError):
+        Star(spark, data).dimension("nothing")
+
+
+def test_fact_views_agree(spark, data):
+    star = Star(spark, data)
+    assert star.lineorder(["lo_orderkey"]).count() == star.lineorder().count()
+
+
+def test_sum_of_nothing(fact):
+    assert fact.where("k > 100").agg(F.sum("q")).first()[0] is None
+    assert fact.where("k > 100").groupBy("d").agg(F.sum("q")).count() == 0
+
+
+def test_signed_sums_and_wide_products(spark):
+    df = spark.createDataFrame([(1, 5), (2, 9)], "a int, b int")
+    assert df.agg(F.sum(operate("-", C("a"), C("b")))).first()[0] == -11
+    big = spark.createDataFrame([(2**31 - 1, 2**31 - 1)], "a int, b int")
+    assert big.select(operate("*", C("a"), C("b"))).first()[0] == (2**31 - 1) ** 2
+
+
+def test_arithmetic(spark):
+    df = spark.createDataFrame([(7, 2), (-7, 2)], "a int, b int")
+    assert [r[0] for r in df.select(operate("/", C("a"), C("b"))).collect()] == [3, -3]
+    assert [r[0] for r in df.select(operate("-", 10, C("a"), C("b"))).collect()] == [1, 15]
+    assert [r[0] for r in df.select(operate("-", C("a"))).collect()] == [-7, 7]
+    for bad in (("%", C("a"), C("b")), ("+",), ("*", C("a"))):
+        with pytest.raises(ValueError):
+            operate(*bad)
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        df.select(operate("/", C("a"), 0)).collect()
+
+
+@pytest.mark.parametrize("op, n", [("=", 1), ("==", 1), ("<>", 7), ("!=", 7), ("<", 3), ("<=", 4), (">", 4), (">=", 5)])
+def test_comparisons(fact, op, n):
+    assert fact.where(compare(op, C("k"), 3)).count() == n
+    mirrored = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}.get(op, op)
+    assert fact.where(compare(mirrored, 3, C("k"))).count() == n
+
+
+def test_unknown_operators(fact):
+    with pytest.raises(ValueError):
+        compare("~", C("k"), 1)
+    with pytest.raises(ValueError):
+        logical("XOR", [C("k") > 1])
+
+
+def test_nested_logic(spark):
+    rows = list(itertools.product([0, 1], repeat=4))
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int")
+    one = {x: C(x) == 1 for x in "abcd"}
+    got = df.where(logical("AND", [logical("OR", [one["a"], one["b"]]), logical("OR", [one["c"], one["d"]])])).collect()
+    assert len(got) == sum((a or b) and (c or d) for a, b, c, d in rows)
+
+
+@pytest.mark.parametrize(
+    "ranges, expected",
+    [
+        ([Range(2, 4)], [2, 3, 4]),
+        ([Range(2, 4, False, False)], [3]),
+        ([Range(1, 1), Range(5, 5)], [1, 5]),
+        ([Range(1, 1), Range(5, 5), Range(9, 9)], [1, 5, 9]),
+        ([Range(None, 0)], [-1, 0]),
+        ([Range(11, None, False)], [12]),
+        ([Range(3, 3), Range(8, 9), Range(12, None)], [3, 8, 9, 12]),
+        ([Range()], list(range(-1, 13))),
+        ([], []),
+    ],
+)
+def test_search(spark, ranges, expected):
+    df = spark.createDataFrame([(x,) for x in range(-1, 13)], "x int")
+    assert sorted(r.x for r in df.where(search(C("x"), ranges)).collect()) == expected
+
+
+def test_order(spark):
+    rows = [(1, 5), (1, 9), (0, 3), (0, 3), (2, 1), (1, None)]
+    df = spark.createDataFrame(rows, "y int, r bigint").orderBy(C("y").asc(), C("r").desc())
+    assert [tuple(r) for r in df.collect()] == [(0, 3), (0, 3), (1, 9), (1, 5), (1, None), (2, 1)]
+
+
+def test_codes(spark):
+    row = spark.range(1).select(
+        encode.region_code(F.lit("ASIA")).alias("a"), encode.region_name(F.lit(4)).alias("b"), encode.category_code(F.lit("MFGR#14")).alias("c"), encode.brand_code(F.lit("MFGR#2221")).alias("d"),
+        encode.brand_code(F.lit("MFGR#2228")).alias("e"), encode.yearmonth_code(F.lit("Dec1997")).alias("f"), encode.yearmonth_name(F.lit(199712)).alias("g"), encode.city_code(F.lit(23), F.lit("UNITED KI1")).alias("h"),
+        encode.region_code(F.lit("MARS")).alias("i"), encode.mfgr_code(F.lit("MFGR#2")).alias("j"),
+    ).first()
+    assert tuple(row) == (2, "MIDDLE EAST", 3, 260, 267, 199712, "Dec1997", 231, -1, 1)
+
+
+def test_codes_round_trip(spark):
+    df = spark.range(1000).select(C("id").cast("int").alias("b")).withColumn("name", encode.brand_name(C("b")))
+    assert df.where(encode.brand_code(C("name")) != C("b")).isEmpty() and df.select("name").distinct().count() == 1000
+
+
+def test_schemas():
+    assert [len(schema(t)) for t in TABLES] == [17, 9, 7, 8, 17]
+    assert ordinals("lineorder")[12] == "lo_revenue" and ordinals("part")[4] == "p_brand1" and ordinals("ddate")[5] == "d_yearmonthnum"
+    assert {f.name for t in TABLES for f in schema(t) if f.dataType != schema(t, coded=False)[f.name].dataType} == set(CODED)
+
+
+def test_delimited_round_trip(spark, tmp_path):
+    cols = schema("supplier", coded=False)
+    rows = [(i, f"name {i}", "street", f"CITY {i}", "NATION", "ASIA", "123") for i in range(5)]
+    write_delimited(spark.createDataFrame(rows, cols), str(tmp_path / "s.tbl"))
+    assert sorted(map(tuple, delimited_table(spark, str(tmp_path / "s.tbl"), "supplier", coded=False).collect())) == rows
+    (tmp_path / "t.tbl").write_text("1|n|a|10|1|2|p|\n")
+    assert tuple(delimited_table(spark, str(tmp_path / "t.tbl"), "supplier").first()) == (1, "n", "a", 10, 1, 2, "p")
+
+
+def test_int32_round_trip(spark, tmp_path):
+    rows = [(1, -5), (2, 2**31 - 1), (3, -(2**31)), (4, 0)]
+    write_int32_columns(spark.createDataFrame(rows, "s_suppkey int, s_city int"), str(tmp_path), "supplier")
+    assert (tmp_path / "SUPPLIER3").stat().st_size == 16
+    assert sorted(map(tuple, int32_columns(spark, str(tmp_path), "supplier", ["s_suppkey", "s_city"]).collect())) == rows
+    assert sorted(r.s_city for r in int32_columns(spark, str(tmp_path), "supplier", ["s_city"]).collect()) == sorted(r[1] for r in rows)
+    assert int32_columns(spark, str(tmp_path), "supplier", []).count() == 4
+    (tmp_path / "SUPPLIER3").write_bytes(b"\1\0\0\0")
+    with pytest.raises(Exception, match="differ in length"):
+        int32_columns(spark, str(tmp_path), "supplier", ["s_suppkey", "s_city"]).collect()
+
+
+def test_sink(spark, tmp_path, capsys):
+    df = spark.createDataFrame([(1, 10), (2, None)], "a int, b int").orderBy("a")
+    assert list(result_lines(df)) == ["1 10", "2 NULL"]
+    path = save_result(df, str(tmp_path), "q33.sql")
+    assert path.endswith("q33.res") and open(path).read() == "1 10\n2 NULL\n"
+    assert print_result(df) == 2 and capsys.readouterr().out.endswith("Total rows in result: 2\n")
+    save_distributed(df, str(tmp_path / "out"))
+    assert same_rows(["2 NULL", "1 10"], [line for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines()])
+
+
+def test_register(spark, data):
+    register(spark, data, ["region", "nation"])
+    assert spark.sql("SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey").first()[0] == 25
+
+
+def test_filters_reach_the_scan(spark, data):
+    plan = queries()["filter_cmp_lit"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(l_quantity,45" in plan and "l_extendedprice" not in plan
