@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -101,6 +102,17 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text"
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    release()
+
+
+def release() -> None:
+    """Gives memory that is free back to the system: workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:

@@ -29,7 +29,7 @@ from ._text import Words, grams, seeds
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 BLOCK_BYTES = 8 << 20
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 _PLACEHOLDER = seeds(3, 21)
 _LITERAL, _NUMBER, _NAME, _UNIT = 0, 1, 2, 3
 # The units that may follow a number.

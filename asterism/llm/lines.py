@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from . import _spark as S
 
 LEAST_LINES, MOST_LINES, DIVISOR = 2, 16, 2
-_CHUNK = 8 << 20
+_CHUNK = 4 << 20
 _MASK = (1 << 64) - 1
 
 

@@ -33,7 +33,7 @@ from ._text import Words, mix64, seeds
 
 COORDINATES, POSTED, MISS = 64, 24, 1e-6
 LIST_BLOCK, SET_BLOCK, SET_TOTAL = 1024, 512, 400_000
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 _ODD = seeds(4 * COORDINATES, 11).astype(np.uint32) | np.uint32(1)
 
 

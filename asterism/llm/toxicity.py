@@ -35,7 +35,7 @@ FOLDS = 5
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, EVIDENCE = 15, 32, 0.25, 3
 LEAST_DOCS, LEAST_LIFT, LEAST_Z = 4, 4.0, 4.0
 BEGINNINGS = (4, 5, 6, 7)
-_CHUNK = 4 << 20
+_CHUNK = 2 << 20
 #: ASCII control characters, punctuation and digits become spaces.
 _PLAIN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
