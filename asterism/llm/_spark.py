@@ -102,8 +102,6 @@ def gathered(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text"
                 held, size = [], 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
-    held = []
-    release()
 
 
 def release() -> None:
@@ -115,6 +113,16 @@ def release() -> None:
         pass
 
 
+def tidy(f):
+    """f for mapInArrow(); free memory goes back at the end of each task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
 def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Rows that come sorted by a key, one table for each key."""
     held: list[pa.RecordBatch] = []
@@ -139,40 +147,15 @@ def by_parts(df: DataFrame, n: int, key: str, *order: str) -> DataFrame:
     return df.repartition(n, F.col(key)).sortWithinPartitions(key, *order)
 
 
-def _local_forest(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each partition's edges as stars around the smallest node of each of their components."""
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (p := root.setdefault(x, x)) != x:
-            root[x] = x = root[p]
-        return x
-
-    def stars() -> pa.RecordBatch:
-        pairs = [(x, r) for x in list(root) if (r := find(x)) != x]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-    for batch in edges:
-        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = find(x), find(y)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-        if len(root) > 1_000_000:  # bounded memory: what is known so far goes out
-            yield stars()
-            root.clear()
-    yield stars()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for each node that has an edge.
 
-    Local forests first, then alternating stars: every node hangs its larger
-    neighbours, then its smaller ones, on its smallest neighbour, until nothing
-    changes.  The number of rounds grows with the logarithm of the longest path.
+    Alternating stars: every node hangs its larger neighbours, then its smaller
+    ones, on its smallest neighbour, until nothing changes.  The number of rounds grows with the logarithm of the longest path.
     Each round ends in a written table; nothing is collected.
     """
     spark = edges.sparkSession
-    pairs, path = written(edges.select("a", "b").mapInArrow(_local_forest, "a long, b long").distinct(), "edges")
+    pairs, path = written(edges.where("a != b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct(), "edges")
     before = None
     while True:
         # large star: neighbours above a node go to the node's smallest neighbour

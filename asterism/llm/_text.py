@@ -36,23 +36,29 @@ _FOLD[0x41:0x5B] = _BYTE[0x61:0x7B]
 _BASE = int(seeds(1, 2)[0])
 _INVERSE = pow(_BASE, -1, 2**64)
 _GRAM = seeds(64, 3)
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+_SPAN = 1 << 12
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse; kept up to the length of a usual batch."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        made = []
-        for base in (_BASE, _INVERSE):
-            p = np.full(size, base, dtype=np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        if size > 1 << 23:
-            return made[0], made[1]
-        _powers = (made[0], made[1])
-    return _powers
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base % 2**64, dtype=np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
+
+
+#: Powers of the base and of its inverse below _SPAN; larger ones are products, so nothing long is kept.
+_UP, _DOWN = _powers(_BASE, _SPAN), _powers(_INVERSE, _SPAN)
+
+
+def _rising(n: int) -> np.ndarray:
+    """The base to the power of 0, 1, ... n - 1."""
+    high = _powers(pow(_BASE, _SPAN, 2**64), n // _SPAN + 1)
+    return (high[:, None] * _UP[None, :]).reshape(-1)[:n]
+
+
+def _falling(at: np.ndarray) -> np.ndarray:
+    """The base to the power of -at."""
+    high = _powers(pow(_INVERSE, _SPAN, 2**64), int(at[-1]) // _SPAN + 1 if len(at) else 1)
+    return high[at // _SPAN] * _DOWN[at % _SPAN]
 
 
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +99,11 @@ class Words:
     def hashes(self, fold: bool = False) -> np.ndarray:
         """A 64-bit hash of each word; fold: A-Z count as a-z."""
         n = len(self.raw)
-        up, down = _powers_to(n + 1)
+        terms = _rising(n) if n else np.zeros(0, np.uint64)
+        terms *= (_FOLD if fold else _BYTE)[self.raw]
         sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_FOLD if fold else _BYTE)[self.raw] * up[:n], out=sums[1:])
-        return mix64((sums[self.end] - sums[self.start]) * down[self.start])
+        np.cumsum(terms, out=sums[1:])
+        return mix64((sums[self.end] - sums[self.start]) * _falling(self.start))
 
     def grams(self, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all runs of k consecutive words, and which of them lie within one text."""

@@ -150,8 +150,8 @@ def format_conversations(conversations: DataFrame, tokens: int = PACK_TOKENS, mo
     n = S.slices(conversations)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _before).alias("turns"))
-    paths = whole.mapInArrow(_chains, "conv_id long, turns array<struct<turn: bigint, role: string, text: string>>, path binary")
-    return paths.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns").mapInArrow(_packs(tokens, most), _PACKS)
+    paths = whole.mapInArrow(S.tidy(_chains), "conv_id long, turns array<struct<turn: bigint, role: string, text: string>>, path binary")
+    return paths.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id").select("conv_id", "turns").mapInArrow(S.tidy(_packs(tokens, most)), _PACKS)
 
 
 def _before(a, b):
@@ -195,4 +195,4 @@ def _branch(pack: dict, node: int) -> tuple:
 def read_packs(packs: DataFrame) -> DataFrame:
     """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, turns), read back from format_conversations()."""
     S.small_batches(packs)
-    return packs.select("text", "nodes", "leaves").mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, turns array<struct<role: string, text: string>>")
+    return packs.select("text", "nodes", "leaves").mapInArrow(S.tidy(_read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, turns array<struct<role: string, text: string>>")

@@ -188,7 +188,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows)
 
-        part = texts.mapInArrow(run, f"doc_id long, item_id {kind.simpleString()}, matched_windows long, item_windows long, first_word long, exact boolean")
+        part = texts.mapInArrow(S.tidy(run), f"doc_id long, item_id {kind.simpleString()}, matched_windows long, item_windows long, first_word long, exact boolean")
         out = part if out is None else out.union(part)
     return out
 
@@ -205,5 +205,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
                 clean[[d for d, *_ in sent.value.matches(table["text"])]] = False
                 yield from table.filter(pa.array(clean)).to_batches()
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(S.tidy(run), docs.schema)
     return docs

@@ -157,4 +157,4 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     borders = texts.join(F.broadcast(follow), F.col("at") == F.col("follow")).groupBy("part").agg(F.min("text").alias("text"))
     rows = texts.withColumn("part", part_of("at")).select("part", F.lit(0).alias("border"), "at", "doc_id", "text")
     rows = rows.unionByName(borders.select("part", F.lit(1).alias("border"), F.lit(_LOW).alias("at"), F.lit(None).cast("long").alias("doc_id"), "text"))
-    return rows.repartition(n, "part").sortWithinPartitions("part", "border", "at", "text").select("part", "doc_id", "text").mapInArrow(_along(samples), _OUT)
+    return rows.repartition(n, "part").sortWithinPartitions("part", "border", "at", "text").select("part", "doc_id", "text").mapInArrow(S.tidy(_along(samples)), _OUT)

@@ -125,8 +125,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n = S.slices(docs)
     own = docs.drop("n_lines", "n_lines_removed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spots = texts.mapInArrow(_emit, "key long, doc_id long, chunk int, body binary")
-    gone = S.by_parts(spots, n, "key", "doc_id", "chunk").mapInArrow(_compare, "doc_id long, chunk int")
+    spots = texts.mapInArrow(S.tidy(_emit), "key long, doc_id long, chunk int, body binary")
+    gone = S.by_parts(spots, n, "key", "doc_id", "chunk").mapInArrow(S.tidy(_compare), "doc_id long, chunk int")
     gone = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("chunk").alias("__gone"))
     schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_lines_removed", T.LongType())])
     names = own.columns
@@ -138,4 +138,4 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], [*names, "n_lines", "n_lines_removed"])
 
     joined = own.join(gone, own["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
-    return joined.mapInArrow(rest, schema)
+    return joined.mapInArrow(S.tidy(rest), schema)

@@ -275,16 +275,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     n = S.slices(docs)
     posted, matched = least_matches(POSTED, percent / 100), least_matches(COORDINATES, percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, _ = S.written(texts.mapInArrow(_signatures(words), "doc_id long, n long, digest binary, sig binary"), "signatures")
+    rows, _ = S.written(texts.mapInArrow(S.tidy(_signatures(words)), "doc_id long, n long, digest binary, sig binary"), "signatures")
     classes = rows.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     classes, _ = S.written(classes, "classes")
 
-    posts = classes.select("rep", "sig").mapInArrow(_post, "key long, rep long")
+    posts = classes.select("rep", "sig").mapInArrow(S.tidy(_post), "key long, rep long")
     shared = posts.groupBy("key").agg(F.count("*").alias("held")).where("held >= 2")
     tokens = posts.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("t")).where(F.size("t") >= posted)
     prefix = tokens.select("rep", F.explode(F.slice("t", F.lit(1), F.size("t") - (posted - 1))).alias("p"))
     lists = prefix.join(classes.select("rep", "n", "sig"), "rep").select("p.key", "rep", "n", "sig", F.ceil(F.col("p.held") / LIST_BLOCK).alias("blocks"))
-    near = _block_pairs(lists, n, "key").mapInArrow(_collide(matched, percent), "a long, b long")
+    near = _block_pairs(lists, n, "key").mapInArrow(S.tidy(_collide(matched, percent)), "a long, b long")
 
     groups = S.components(near)
     sizes = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
@@ -292,8 +292,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     blocks = sizes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / SET_TOTAL)).alias("blocks"))
     members = sizes.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
     # always by merge: the number of members grows with the documents
-    sets = texts.join(members.hint("merge"), "doc_id").mapInArrow(_sets(words), "rep long, component long, blocks long, shingles binary")
-    links = _block_pairs(sets, n, "component").mapInArrow(_confirm(percent), "a long, b long")
+    sets = texts.join(members.hint("merge"), "doc_id").mapInArrow(S.tidy(_sets(words)), "rep long, component long, blocks long, shingles binary")
+    links = _block_pairs(sets, n, "component").mapInArrow(S.tidy(_confirm(percent)), "a long, b long")
 
     linked = S.components(links)
     copies = classes.where("copies > 1").select("digest", "rep")

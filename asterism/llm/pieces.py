@@ -35,7 +35,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 THREADS = 2
 #: Words that a worker keeps, besides those of one batch.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 MARK = "▁"
 _CHUNK = 1 << 20
 # Piece types and model types of the model file's format.
@@ -263,7 +263,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL, ids: bool = True) -> D
             names = ["doc_id", "n_tokens", "ids_sha256", "round_trip", "parity", "ids"][: len(cols)]
             yield from pa.Table.from_arrays(cols, names).to_batches()
 
-    return texts.mapInArrow(run, _schema(ids))
+    return texts.mapInArrow(S.tidy(run), _schema(ids))
 
 
 def decode_ids(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -278,4 +278,4 @@ def decode_ids(encoded: DataFrame, model: str = MODEL) -> DataFrame:
             texts = c.decode([np.array(x or [], np.int32) for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(S.tidy(run), "doc_id long, text string")

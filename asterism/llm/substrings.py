@@ -208,7 +208,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     S.small_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = S.slices(docs)
-    found = S.by_parts(texts.mapInArrow(_seeds(window, anchor, n), _BLOBS), n, "part").mapInArrow(_extend(n), _BLOBS)
+    found = S.by_parts(texts.mapInArrow(S.tidy(_seeds(window, anchor, n)), _BLOBS), n, "part").mapInArrow(S.tidy(_extend(n)), _BLOBS)
     marks = found.select("part", "doc", "start", "span")
     homes = texts.withColumn("part", F.coalesce(home_of("doc_id", n), F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")))
     return homes.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")

@@ -65,7 +65,7 @@ class Model:
     def __init__(self, terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], block: int = BLOCK):
         self.terms, self.idf = terms, idf
         none = [y for _, y, v in examples if not v]
-        self.prior = (sum(none) + 0.5) / (len(none) + 1)
+        self.prior = (sum(none) + 0.5) / (len(none) + 2)
         groups: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for doc, y, v in examples:
             if v:
@@ -185,19 +185,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     sample = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    examples, _ = S.written(texts.join(F.broadcast(sample), "doc_id").mapInArrow(_sketch, "doc_id long, toxic int, text string, sketch long"), "examples")
+    examples, _ = S.written(texts.join(F.broadcast(sample), "doc_id").mapInArrow(S.tidy(_sketch), "doc_id long, toxic int, text string, sketch long"), "examples")
     single = examples.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     apart = examples.join(F.broadcast(single), "doc_id", "left_semi")
     n = {r.toxic: r.n for r in apart.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0) + 1.0, n.get(0, 0) + 1.0
     p, q = (F.col("toxic") + 0.5) / n1, (F.col("clean") + 0.5) / n0
     z = (p - q) / F.sqrt(p * (1 - p) / n1 + q * (1 - q) / n0)
-    stats = apart.mapInArrow(_count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    stats = apart.mapInArrow(S.tidy(_count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     chosen = stats.where(F.col("toxic") >= LEAST_DOCS).withColumn("z", z).where((F.col("z") >= LEAST_Z / 2) & (p >= LEAST_LIFT * q))
     # few documents speak for a term only if they are almost all toxic
     chosen = chosen.where((F.col("z") >= LEAST_Z) | (F.col("toxic") >= 20 * F.col("clean") + 6)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
     terms = sorted(r.term for r in chosen.select("term").collect())
-    found, _ = S.written(texts.mapInArrow(_find(terms), "doc_id long, terms array<int>, counts array<int>"), "terms")
+    found, _ = S.written(texts.mapInArrow(S.tidy(_find(terms)), "doc_id long, terms array<int>, counts array<int>"), "terms")
     df = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     total = found.count()
     idf = np.array([log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
@@ -212,7 +212,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
     labelled rows that are not held out, at most ``max_examples`` of them, taken by a hash of
     doc_id; a doc_id with several labels counts as toxic if one says so; null
     labels and ids are ignored.  Null and empty texts, and texts without any of
-    the terms, get the rate of toxic ones among such examples, 0.5 if there are
+    the terms, get the rate of toxic ones among such examples, 0.25 if there are
     none.  Repeated rows get equal scores.  A null doc_id is scored and is not
     held out.  An empty table gives an empty result; other columns are not read.
     """
@@ -233,7 +233,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
                 scores.append(known[key])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in scores], pa.float64()), pa.array([e for _, e in scores], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
-    out = found.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    out = found.mapInArrow(S.tidy(run), "doc_id long, score double, evidence array<long>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
@@ -250,4 +250,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMP
             keep = [sent.value.score(dict(zip(t, c)))[0] < 0.5 for t, c in zip(got.column("terms").to_pylist(), got.column("counts").to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(S.tidy(run), docs.schema)
