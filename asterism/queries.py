@@ -63,10 +63,10 @@ def str_q13(star: Star) -> DataFrame:
 # --- flight 2: revenue by year and brand ------------------------------------------------
 
 
-def _flight2(star: Star, part: Column, supplier: Column, brand: str = "p_brand1") -> DataFrame:
+def _flight2(star: Star, part: Column, supplier: Column, brand: str = "p_brand1", region: str = "s_region") -> DataFrame:
     return (
         StarQuery(star.lineorder(["lo_orderdate", "lo_partkey", "lo_suppkey", "lo_revenue"]))
-        .dimension(star.supplier(), "s_suppkey", "lo_suppkey", supplier)
+        .dimension(star.dimension("supplier", region), "s_suppkey", "lo_suppkey", supplier)
         .dimension(star.part(), "p_partkey", "lo_partkey", part, [brand])
         .dimension(star.ddate(), "d_datekey", "lo_orderdate", None, ["d_year"])
         .aggregate(_revenue(), by=["d_year", brand])
@@ -89,25 +89,28 @@ def q23(star: Star) -> DataFrame:
 
 
 def str_q21(star: Star) -> DataFrame:
-    return _flight2(star, C("p_category_name") == "MFGR#12", C("s_region_name") == "AMERICA", "p_brand1_name")
+    return _flight2(star, C("p_category_name") == "MFGR#12", C("s_region_name") == "AMERICA", "p_brand1_name", "s_region_name")
 
 
 def str_q22(star: Star) -> DataFrame:
-    return _flight2(star, _between("p_brand1_name", "MFGR#2221", "MFGR#2228"), C("s_region_name") == "ASIA", "p_brand1_name")
+    return _flight2(star, _between("p_brand1_name", "MFGR#2221", "MFGR#2228"), C("s_region_name") == "ASIA", "p_brand1_name", "s_region_name")
 
 
 def str_q23(star: Star) -> DataFrame:
-    return _flight2(star, C("p_brand1_name") == "MFGR#2221", C("s_region_name") == "EUROPE", "p_brand1_name")
+    return _flight2(star, C("p_brand1_name") == "MFGR#2221", C("s_region_name") == "EUROPE", "p_brand1_name", "s_region_name")
 
 
 # --- flight 3: revenue by customer place, supplier place and year -----------------------
 
 
-def _flight3(star: Star, customer: Column, supplier: Column, day: Column, place: str) -> DataFrame:
+def _flight3(star: Star, customer: Column, supplier: Column, day: Column, place: str, by: str | None = None) -> DataFrame:
+    def side(table: str, prefix: str) -> DataFrame:
+        return star.dimension(table, *{f"{prefix}_{x}" for x in (place, by or place)})
+
     return (
         StarQuery(star.lineorder(["lo_orderdate", "lo_custkey", "lo_suppkey", "lo_revenue"]))
-        .dimension(star.customer(), "c_custkey", "lo_custkey", customer, [f"c_{place}"])
-        .dimension(star.supplier(), "s_suppkey", "lo_suppkey", supplier, [f"s_{place}"])
+        .dimension(side("customer", "c"), "c_custkey", "lo_custkey", customer, [f"c_{place}"])
+        .dimension(side("supplier", "s"), "s_suppkey", "lo_suppkey", supplier, [f"s_{place}"])
         .dimension(star.ddate(), "d_datekey", "lo_orderdate", day, ["d_year"])
         .aggregate(_revenue("revenue"), by=[f"c_{place}", f"s_{place}", "d_year"])
         .order_by(C("d_year").asc(), C("revenue").desc())
@@ -121,11 +124,11 @@ def _years() -> Column:
 
 
 def q31(star: Star) -> DataFrame:
-    return _flight3(star, C("c_region") == 2, C("s_region") == 2, _years(), "nation")
+    return _flight3(star, C("c_region") == 2, C("s_region") == 2, _years(), "nation", "region")
 
 
 def q32(star: Star) -> DataFrame:
-    return _flight3(star, C("c_nation") == 9, C("s_nation") == 9, _years(), "city")
+    return _flight3(star, C("c_nation") == 9, C("s_nation") == 9, _years(), "city", "nation")
 
 
 def q33(star: Star) -> DataFrame:
@@ -137,11 +140,11 @@ def q34(star: Star) -> DataFrame:
 
 
 def str_q31(star: Star) -> DataFrame:
-    return _flight3(star, C("c_region_name") == "ASIA", C("s_region_name") == "ASIA", _years(), "nation_name")
+    return _flight3(star, C("c_region_name") == "ASIA", C("s_region_name") == "ASIA", _years(), "nation_name", "region_name")
 
 
 def str_q32(star: Star) -> DataFrame:
-    return _flight3(star, C("c_nation") == 9, C("s_nation") == 9, _years(), "city_name")
+    return _flight3(star, C("c_nation") == 9, C("s_nation") == 9, _years(), "city_name", "nation")
 
 
 def str_q33(star: Star) -> DataFrame:
@@ -156,7 +159,7 @@ def str_q34(star: Star) -> DataFrame:
 # --- flight 4: profit -------------------------------------------------------------------
 
 
-def _flight4(star: Star, customer: Column, supplier: Column, part: Column, day: Column | None, keys: list[str], measure: Column | None = None, ordered: bool = True) -> DataFrame:
+def _flight4(star: Star, customer: Column, supplier: Column, part: Column, day: Column | None, keys: list[str], by: tuple[str, str] = ("c_region", "s_region"), measure: Column | None = None, ordered: bool = True) -> DataFrame:
     def own(prefix: str) -> list[str]:
         return [k for k in keys if k.startswith(prefix)]
 
@@ -164,8 +167,8 @@ def _flight4(star: Star, customer: Column, supplier: Column, part: Column, day:
     cost = [] if measure is not None else ["lo_supplycost"]
     q = (
         StarQuery(star.lineorder(["lo_orderdate", "lo_custkey", "lo_suppkey", "lo_partkey", "lo_revenue", *cost]))
-        .dimension(star.customer(), "c_custkey", "lo_custkey", customer, own("c_"))
-        .dimension(star.supplier(), "s_suppkey", "lo_suppkey", supplier, own("s_"))
+        .dimension(star.dimension("customer", by[0], *own("c_")), "c_custkey", "lo_custkey", customer, own("c_"))
+        .dimension(star.dimension("supplier", by[1], *own("s_")), "s_suppkey", "lo_suppkey", supplier, own("s_"))
         .dimension(star.part(), "p_partkey", "lo_partkey", part, own("p_"))
         .dimension(star.ddate(), "d_datekey", "lo_orderdate", day, ["d_year"])
         .aggregate(profit if measure is None else measure, by=keys)
@@ -182,23 +185,23 @@ def q42(star: Star) -> DataFrame:
 
 
 def q43(star: Star) -> DataFrame:
-    return _flight4(star, C("c_region") == 1, C("s_nation") == 24, C("p_category") == 3, C("d_year").isin(1997, 1998), ["d_year", "s_city", "p_brand1"])
+    return _flight4(star, C("c_region") == 1, C("s_nation") == 24, C("p_category") == 3, C("d_year").isin(1997, 1998), ["d_year", "s_city", "p_brand1"], ("c_region", "s_nation"))
 
 
 def str_q41(star: Star) -> DataFrame:
-    return _flight4(star, C("c_region_name") == "AMERICA", C("s_region_name") == "AMERICA", C("p_mfgr_name").isin("MFGR#1", "MFGR#2"), None, ["d_year", "c_nation_name"])
+    return _flight4(star, C("c_region_name") == "AMERICA", C("s_region_name") == "AMERICA", C("p_mfgr_name").isin("MFGR#1", "MFGR#2"), None, ["d_year", "c_nation_name"], ("c_region_name", "s_region_name"))
 
 
 def str_q42(star: Star) -> DataFrame:
-    return _flight4(star, C("c_region_name") == "AMERICA", C("s_region_name") == "AMERICA", C("p_mfgr_name").isin("MFGR#1", "MFGR#2"), C("d_year").isin(1997, 1998), ["d_year", "s_nation_name", "p_category_name"])
+    return _flight4(star, C("c_region_name") == "AMERICA", C("s_region_name") == "AMERICA", C("p_mfgr_name").isin("MFGR#1", "MFGR#2"), C("d_year").isin(1997, 1998), ["d_year", "s_nation_name", "p_category_name"], ("c_region_name", "s_region_name"))
 
 
 def str_q43(star: Star) -> DataFrame:
-    return _flight4(star, C("c_region_name") == "AMERICA", C("s_nation") == 24, C("p_category_name") == "MFGR#14", C("d_year").isin(1997, 1998), ["d_year", "s_city_name", "p_brand1_name"])
+    return _flight4(star, C("c_region_name") == "AMERICA", C("s_nation") == 24, C("p_category_name") == "MFGR#14", C("d_year").isin(1997, 1998), ["d_year", "s_city_name", "p_brand1_name"], ("c_region_name", "s_nation"))
 
 
 def p1(star: Star) -> DataFrame:
-    return _flight4(star, C("c_region") == 1, C("s_region") == 1, C("p_mfgr").isin(0, 1), None, ["d_year", "c_nation"], F.count(F.lit(1)).alias("n"), ordered=False)
+    return _flight4(star, C("c_region") == 1, C("s_region") == 1, C("p_mfgr").isin(0, 1), None, ["d_year", "c_nation"], measure=F.count(F.lit(1)).alias("n"), ordered=False)
 
 
 def default(star: Star) -> DataFrame:
@@ -206,7 +209,7 @@ def default(star: Star) -> DataFrame:
         StarQuery(star.lineorder(["lo_orderdate", "lo_partkey", "lo_suppkey", "lo_revenue"]))
         .dimension(star.ddate(), "d_datekey", "lo_orderdate")
         .dimension(star.part(), "p_partkey", "lo_partkey")
-        .dimension(star.supplier(), "s_suppkey", "lo_suppkey")
+        .dimension(star.dimension("supplier", "s_city"), "s_suppkey", "lo_suppkey")
         .aggregate(_revenue())
         .frame()
     )

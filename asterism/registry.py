@@ -28,7 +28,7 @@ def run_plan(spark: SparkSession, sf_dir: str, plan) -> DataFrame:
     star = Star(spark, sf_dir)
 
     def table(name: str, columns: list[str]) -> DataFrame:
-        return star.lineorder(columns) if name == "lineorder" else star.dimension(name).select(*columns)
+        return star.lineorder(columns) if name == "lineorder" else star.dimension(name, *columns).select(*columns)
 
     return compile_plan(semi_joins(plan, examples.UNIQUE), table)
 
@@ -62,8 +62,8 @@ def _by(*keys: str, day: bool = True, order: bool = False) -> Query:
 
 def _join_star_mixed(spark: SparkSession, d: str) -> DataFrame:
     star = Star(spark, d)
-    q = StarQuery(star.lineorder([*KEYS, "lo_custkey", "lo_suppkey", "lo_orderdate"])).dimension(star.customer(), "c_custkey", "lo_custkey", C("c_region") == 2, ["c_nation"])
-    q = q.dimension(star.ddate(), "d_datekey", "lo_orderdate", None, ["d_year"]).dimension(star.supplier(), "s_suppkey", "lo_suppkey", C("s_region") == 3)
+    q = StarQuery(star.lineorder([*KEYS, "lo_custkey", "lo_suppkey", "lo_orderdate"])).dimension(star.customer("c_region", "c_nation"), "c_custkey", "lo_custkey", C("c_region") == 2, ["c_nation"])
+    q = q.dimension(star.ddate(), "d_datekey", "lo_orderdate", None, ["d_year"]).dimension(star.supplier("s_region"), "s_suppkey", "lo_suppkey", C("s_region") == 3)
     return q.select(*KEYS, "d_year", "c_nation").frame()
 
 
@@ -118,7 +118,7 @@ SINGLE: dict[str, Query] = {
     "search_points": _filtered(lambda: search(C("lo_quantity"), [Range(1, 1), Range(7, 7), Range(49, 49)]), "lo_quantity"),
     "search_mixed": _filtered(lambda: search(C("lo_quantity"), [Range(3, 3), Range(5, 5), Range(20, 23, False, False), Range(49, None)]), "lo_quantity"),
     "flag_count": lambda s, d: _fact(s, d, "lo_discount", "lo_quantity").where(C("lo_discount").between(1, 3) & (C("lo_quantity") < 25)).agg(F.count(F.lit(1)).alias("survivors")),
-    "join_semi": lambda s, d: StarQuery(_fact(s, d, "lo_suppkey")).dimension(Star(s, d).supplier(), "s_suppkey", "lo_suppkey", C("s_region") == 1).select(*KEYS).frame(),
+    "join_semi": lambda s, d: StarQuery(_fact(s, d, "lo_suppkey")).dimension(Star(s, d).supplier("s_region"), "s_suppkey", "lo_suppkey", C("s_region") == 1).select(*KEYS).frame(),
     "join_lookup": lambda s, d: StarQuery(_fact(s, d, "lo_partkey")).dimension(Star(s, d).part(), "p_partkey", "lo_partkey", C("p_category") == 1, ["p_brand1"]).select(*KEYS, "p_brand1").frame(),
     "join_star_mixed": _join_star_mixed,
     "project_ref": lambda s, d: Star(s, d).lineorder(["lo_revenue", "lo_orderkey"]),

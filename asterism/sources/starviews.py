@@ -16,7 +16,7 @@ from ..functions import encode
 from .readers import parquet_table
 
 #: Days that the date dimension has.
-FIRST_DAY, LAST_DAY = "1900-01-01", "2099-12-31"
+FIRST_DAY, LAST_DAY = "1970-01-01", "2069-12-31"
 
 
 def _cents(value: str) -> Column:
@@ -76,18 +76,33 @@ class Star:
         days = self.spark.sql(f"SELECT explode(sequence(DATE'{FIRST_DAY}', DATE'{LAST_DAY}')) AS day")
         return days.select(encode.date_code(F.col("day")).alias("d_datekey"), F.year("day").alias("d_year"), (F.year("day") * 100 + F.month("day")).alias("d_yearmonthnum"), encode.yearmonth_name(F.year("day") * 100 + F.month("day")).alias("d_yearmonth"))
 
-    def _place(self, table: str, prefix: str) -> DataFrame:
-        key, nation = F.col(f"{prefix}_{'custkey' if prefix == 'c' else 'suppkey'}"), F.col(f"{prefix}_nationkey")
-        df = self.base(table).join(self.base("nation"), nation == F.col("n_nationkey")).join(self.base("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        digit = (key % 10).cast("int")
-        names = {"city": (nation * 10 + digit).cast("int"), "nation": F.col("n_nationkey"), "region": F.col("n_regionkey"), "city_name": encode.city_name(F.col("n_name"), digit), "nation_name": F.col("n_name"), "region_name": F.col("r_name")}
-        return df.select(key, *[v.alias(f"{prefix}_{k}") for k, v in names.items()])
-
-    def customer(self) -> DataFrame:
-        return self._place("customer", "c")
-
-    def supplier(self) -> DataFrame:
-        return self._place("supplier", "s")
+    def _place(self, table: str, key: str, prefix: str, columns: tuple[str, ...]) -> DataFrame:
+        """The key and the asked columns; only those tables are joined that these need."""
+        nation, digit = F.col(f"{prefix}_nationkey"), (F.col(key) % 10).cast("int")
+        made = {
+            "city": ("", (nation * 10 + digit).cast("int")),
+            "nation": ("", nation),
+            "region": ("nation", F.col("n_regionkey")),
+            "city_name": ("nation", encode.city_name(F.col("n_name"), digit)),
+            "nation_name": ("nation", F.col("n_name")),
+            "region_name": ("region", F.col("r_name")),
+        }
+        wanted = [c.removeprefix(f"{prefix}_") for c in columns if c != key] or list(made)
+        if unknown := [c for c in wanted if c not in made]:
+            raise ValueError(f"no columns {unknown} in {table}")
+        needs = {made[c][0] for c in wanted}
+        df = self.base(table)
+        if needs & {"nation", "region"}:
+            df = df.join(self.base("nation"), nation == F.col("n_nationkey"))
+        if "region" in needs:
+            df = df.join(self.base("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        return df.select(key, *[made[c][1].alias(f"{prefix}_{c}") for c in wanted])
+
+    def customer(self, *columns: str) -> DataFrame:
+        return self._place("customer", "c_custkey", "c", columns)
+
+    def supplier(self, *columns: str) -> DataFrame:
+        return self._place("supplier", "s_suppkey", "s", columns)
 
     def part(self) -> DataFrame:
         category = (F.substring("p_brand", 7, 10).cast("int") - 1).alias("p_category")
@@ -95,10 +110,14 @@ class Star:
         df = df.withColumn("p_brand1", (F.col("p_category") * 40 + (F.col("p_partkey") % 40)).cast("int"))
         return df.select("*", encode.mfgr_name(F.col("p_mfgr")).alias("p_mfgr_name"), encode.category_name(F.col("p_category")).alias("p_category_name"), encode.brand_name(F.col("p_brand1")).alias("p_brand1_name"))
 
-    def dimension(self, name: str) -> DataFrame:
+    def dimension(self, name: str, *columns: str) -> DataFrame:
+        """The key and the asked columns of a dimension; all of them if none are named."""
         if name not in DIMENSIONS:
             raise ValueError(f"no dimension {name!r}")
-        return getattr(self, name)()
+        if name in ("customer", "supplier"):
+            return getattr(self, name)(*columns)
+        df = getattr(self, name)()
+        return df.select(*dict.fromkeys((DIMENSIONS[name], *columns))) if columns else df
 
     def register(self, names: Iterable[str] = ("lineorder", *DIMENSIONS)) -> None:
         """Temporary views for SQL text."""

@@ -13,6 +13,7 @@ from asterism.registry import queries
 from asterism.sources.readers import delimited_table, int32_columns, register, write_delimited, write_int32_columns
 from asterism.sources.schema import CODED, TABLES, ordinals, schema
 from asterism.sources.sink import print_result, result_lines, same_rows, save_distributed, save_result
+from asterism.sources.saved import save_star
 from asterism.sources.starviews import DIMENSIONS, Star
 
 C = F.col
@@ -68,6 +69,29 @@ def test_fact_views_agree(spark, data):
     assert star.lineorder(["lo_orderkey"]).count() == star.lineorder().count()
 
 
+def test_dimensions_join_only_what_they_need(spark, data):
+    text = lambda *columns: Star(spark, data).dimension("customer", *columns)._jdf.queryExecution().optimizedPlan().toString()
+    assert [text(c).count("Join") for c in ("c_city", "c_region", "c_region_name")] == [0, 1, 2]
+    with pytest.raises(ValueError):
+        Star(spark, data).customer("c_nothing")
+
+
+@pytest.mark.parametrize("name", ["q12", "q21", "q34", "q42", "p1"])
+def test_saved_star(spark, data, tmp_path_factory, name, saved=[]):
+    from asterism.queries import CODED as coded
+    from asterism.queries import STRINGS as strings
+
+    if not saved:
+        saved.append(save_star(Star(spark, data), str(tmp_path_factory.mktemp("star"))))
+    for f in filter(None, (coded[name], strings.get(name))):
+        assert sorted(f(saved[0]).collect()) == sorted(f(Star(spark, data)).collect())
+
+
+def test_saved_star_prunes(spark, data, tmp_path):
+    plan = save_star(Star(spark, data), str(tmp_path)).lineorder(["lo_revenue"]).where("lo_revenue > 5")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "lo_custkey" not in plan
+
+
 def test_sum_of_nothing(fact):
     assert fact.where("k > 100").agg(F.sum("q")).first()[0] is None
     assert fact.where("k > 100").groupBy("d").agg(F.sum("q")).count() == 0
