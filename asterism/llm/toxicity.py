@@ -1,7 +1,7 @@
 """Operator 10: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are whole words and word beginnings (four to seven letters) that
-labelled examples show to be far likelier in toxic texts; term frequency is
+labelled examples show to be far likelier in toxic texts, and how many words of a text have such terms; term frequency is
 damped, inverse document frequency is counted over all documents.  The labelled
 examples' vectors form an inverted index in blocks, each with the largest weight
 of each term (block-max): a query visits blocks by their upper bound and stops
@@ -33,6 +33,8 @@ MAX_EXAMPLES = 16_000
 MAX_TERMS = 1024
 FOLDS = 5
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, EVIDENCE = 15, 32, 0.25, 3
+#: A text with n words that hold terms has the n-th of these further terms.
+MOST_WORDS, WORDS_WEIGHT = 4, 2.0
 LEAST_DOCS, LEAST_LIFT, LEAST_Z = 4, 4.0, 4.0
 BEGINNINGS = (4, 5, 6, 7)
 _CHUNK = 2 << 20
@@ -158,7 +160,7 @@ def _automaton(terms: list[str]):
 
     a = ahocorasick.Automaton()
     for i, t in enumerate(terms):
-        a.add_word(t, i)
+        a.add_word(t, (i, len(t)))
     if terms:
         a.make_automaton()
     return a
@@ -172,7 +174,12 @@ def _find(terms: list[str]):
             for text in batch.column("text").to_pylist():
                 got: Counter = Counter()
                 if terms and text:
-                    got.update(i for _, i in find.iter(plain(text)))
+                    words = set()
+                    for end, (i, size) in find.iter(plain(text)):
+                        got[i] += 1
+                        words.add(end - size)
+                    if words:  # how many words have terms is a term of its own
+                        got[len(terms) + min(len(words), MOST_WORDS) - 1] = 1
                 ids.append(sorted(got))
                 counts.append([got[i] for i in ids[-1]])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
@@ -200,7 +207,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     found, _ = S.written(texts.mapInArrow(S.tidy(_find(terms)), "doc_id long, terms array<int>, counts array<int>"), "terms")
     df = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     total = found.count()
-    idf = np.array([log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
+    idf = np.array([log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms) + MOST_WORDS)])
+    idf[len(terms) :] *= WORDS_WEIGHT
     vectors = found.join(F.broadcast(examples.select("doc_id", "toxic")), "doc_id").collect()
     return Model(terms, idf, sorted((r.doc_id, r.toxic, dict(zip(r.terms, r.counts))) for r in vectors)), found
 
