@@ -110,16 +110,28 @@ def _scan(docs: DataFrame, templates: Sequence[tuple[str, str]], containment: fl
     # the generator keeps the optimizer from evaluating the arrays again for each of their uses
     found = hashed.select("doc_id", "words", F.explode(F.array(F.array_distinct(F.concat(*hits)))).alias("hits")).where(F.size("hits") > 0)
     known = F.array(*[F.struct(F.lit(t["license"]).alias("license"), F.lit(t["id"]).alias("template"), F.array(*map(F.lit, t["shingles"])).alias("shingles"), F.array(*[F.lit(x) for x in sorted({*t["single"], *t["band0"], *t["band1"], *t["band2"]})]).alias("posted")) for t in posted])
-    pairs = found.select("doc_id", "words", F.explode(F.filter(known, lambda t: F.arrays_overlap(t["posted"], F.col("hits")))).alias("t"))
-    shared = F.size(F.array_intersect(_texts(F.col("words")), F.col("t.shingles"))).cast("long")
-    out = pairs.select("doc_id", "t.license", "t.template", shared.alias("shared"), F.size("t.shingles").cast("long").alias("total"))
-    return out.withColumn("containment", F.col("shared") / F.col("total")).where(F.col("containment") >= containment)
+    texts = found.select("doc_id", "hits", F.explode(F.array(_texts(F.col("words")))).alias("texts"))
+    retrieved = F.filter(known, lambda t: F.arrays_overlap(t["posted"], F.col("hits")))
+    checked = F.transform(retrieved, lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), F.array_intersect(F.col("texts"), t["shingles"]).alias("found"), F.size(t["shingles"]).cast("long").alias("total")))
+    enough = F.filter(checked, lambda m: F.size(m["found"]) / m["total"] >= containment)
+    held = texts.select("doc_id", F.explode(F.array(enough)).alias("held"))
+
+    def better(m: Column) -> Column:
+        """Whether a template of higher containment has all that this one has found."""
+        return F.exists("held", lambda o: (F.size(o["found"]) * m["total"] > F.size(m["found"]) * o["total"]) & (F.size(F.array_except(m["found"], o["found"])) == 0))
+
+    out = held.select("doc_id", F.explode(F.filter("held", lambda m: ~better(m))).alias("m"))
+    shared = F.size("m.found").cast("long")
+    return out.select("doc_id", "m.license", "m.template", shared.alias("shared"), "m.total", (shared / F.col("m.total")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, license, template, shared, total, containment) for each template that a row of docs (doc_id, text) contains.
 
-    template: its place in the list; shared of total: its distinct shingles found in the text.
+    template: its place in the list; shared of total: its distinct shingles found
+    in the text.  A template is left out if all that it found belongs to one of
+    higher containment, as with two versions of one notice (among templates of
+    one pass; up to MAX_SHINGLES shingles are one).
 
     Null, empty and short texts contain nothing.  Repeated rows are reported
     each; a null doc_id stays null.  No templates or an empty table give an

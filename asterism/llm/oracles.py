@@ -28,8 +28,10 @@ SQL: dict[str, str] = {
 WITH t(template, license, text) AS (VALUES {_TEMPLATES}),
 templates AS (SELECT template, license, {_shingles("text")} AS s FROM t),
 docs AS (SELECT doc_id, {_shingles("text")} AS s FROM documents WHERE text IS NOT NULL),
-pairs AS (SELECT doc_id, license, template, len(list_intersect(d.s, t.s)) AS shared, len(t.s) AS total FROM docs d, templates t)
-SELECT doc_id, license, template, shared, total, shared / total AS containment FROM pairs WHERE shared / total >= {CONTAINMENT}
+pairs AS (SELECT doc_id, license, template, list_intersect(d.s, t.s) AS found, len(t.s) AS total FROM docs d, templates t),
+held AS (SELECT *, len(found) / total AS containment FROM pairs WHERE len(found) / total >= {CONTAINMENT})
+SELECT doc_id, license, template, len(found) AS shared, total, containment FROM held m
+WHERE NOT EXISTS (SELECT 1 FROM held o WHERE o.doc_id = m.doc_id AND o.containment > m.containment AND list_has_all(o.found, m.found))
 """,
     "op4_url_filters": f"""
 WITH rules(verdict, host, path, rule) AS (VALUES {_RULES}),
