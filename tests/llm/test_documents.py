@@ -254,3 +254,15 @@ def test_same_result_at_other_partitionings(docs):
         a = op(docs.coalesce(1)).where(F.col("doc_id").isNotNull()).select(cols)
         b = op(docs.repartition(9)).where(F.col("doc_id").isNotNull()).select(cols)
         assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_repeated_rows(spark):
+    """Rows that are equal in everything get equal results and count as one document."""
+    text = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, text), (1, text), (2, text), (3, "other words here")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in dedup_substrings(df).collect()) == [(1, 0), (1, 0), (2, 40), (3, 0)]
+    first, second = [r for r in fingerprints(df).collect() if r.doc_id == 1]
+    assert first.fingerprint == second.fingerprint and {first.near_next, second.near_next} == {1.0}
+    item = spark.createDataFrame([(7, text), (7, text)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in find_contamination(df, item).collect()) == [(1, 7)] * 4 + [(2, 7)] * 2
+    assert [r.doc_id for r in drop_contaminated(df, item).collect()] == [3]
