@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .starviews import DIMENSIONS, FACT_COLUMNS, Star
 
@@ -19,7 +20,11 @@ def save_star(star: Star, path: str) -> SavedStar:
     fact = star.lineorder()
     fact.repartitionByRange("lo_orderdate", "lo_orderkey").sortWithinPartitions("lo_orderdate").write.mode("overwrite").parquet(f"{path}/lineorder")
     for name in DIMENSIONS:
-        star.dimension(name).write.mode("overwrite").parquet(f"{path}/{name}")
+        df = star.dimension(name)
+        if name == "ddate":  # only the days between the fact table's first and last
+            first, last = star.spark.read.parquet(f"{path}/lineorder").agg(F.min("lo_orderdate"), F.max("lo_orderdate")).first()
+            df = df.where(F.col("d_datekey").between(first, last))
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
     return SavedStar(star.spark, path)
 
 
