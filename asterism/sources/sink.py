@@ -15,8 +15,8 @@ def result_lines(df: DataFrame) -> Iterable[str]:
 
 
 def save_result(df: DataFrame, directory: str, query: str) -> str:
-    """Writes ``<first three characters of the query's name>.res`` and gives its path."""
-    path = Path(directory) / f"{query[:3]}.res"
+    """Writes ``<first three characters of the query's name>.res`` (without a leading ``ssb_``) and gives its path."""
+    path = Path(directory) / f"{query.removeprefix('ssb_')[:3]}.res"
     path.parent.mkdir(parents=True, exist_ok=True)
     with path.open("w") as f:
         f.writelines(f"{line}\n" for line in result_lines(df))

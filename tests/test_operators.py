@@ -209,6 +209,7 @@ def test_sink(spark, tmp_path, capsys):
     assert list(result_lines(df)) == ["1 10", "2 NULL"]
     path = save_result(df, str(tmp_path), "q33.sql")
     assert path.endswith("q33.res") and open(path).read() == "1 10\n2 NULL\n"
+    assert save_result(df, str(tmp_path), "ssb_q41").endswith("q41.res")
     assert print_result(df) == 2 and capsys.readouterr().out.endswith("Total rows in result: 2\n")
     save_distributed(df, str(tmp_path / "out"))
     assert same_rows(["2 NULL", "1 10"], [line for p in (tmp_path / "out").glob("part-*") for line in p.read_text().splitlines()])
