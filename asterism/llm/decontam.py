@@ -2,12 +2,14 @@
 
 Words are trimmed of punctuation and case-folded; numbers, names (capitalised
 words inside a sentence) and units (after a number) become typed placeholders.
+Capitals say nothing about names in headings and texts in capitals, so texts are
+also read with names as literal words, and with all words literal (``VIEWS``).
 All windows of eight such tokens with at least four literal words are hashed and
-joined with the windows of the benchmark's items.  Matches of one document and
+joined with the windows of the benchmark's items, view by view.  Matches of one document and
 item on one alignment are then checked for slot consistency: each value of the
 item must stand for one value in the document throughout, and different values
 for different ones.  A pair is reported if consistent windows cover at least
-half of the item's.
+half of the item's in one of the views.  In capitals a changed name costs the windows that cover it.
 
 Scale: the benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, so the index
 that goes to the executors has a fixed bound; each block is one pass over the
@@ -21,17 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _spark as S
-from ._text import Words, grams, seeds
+from ._text import Words, grams, seeds, string_buffers
 
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 BLOCK_BYTES = 8 << 20
 _CHUNK = 2 << 20
 _PLACEHOLDER = seeds(3, 21)
 _LITERAL, _NUMBER, _NAME, _UNIT = 0, 1, 2, 3
+#: The kinds that are placeholders: templates, templates whatever the capitals, and words as they stand.
+VIEWS = ((_NUMBER, _NAME, _UNIT), (_NUMBER, _UNIT), ())
 # The units that may follow a number.
 UNITS = (
     "mm", "cm", "m", "km", "inch", "inches", "ft", "feet", "yard", "yards", "mile", "miles",
@@ -52,8 +57,21 @@ _TRIM, _STOP, _DIGIT, _UPPER, _BREAK = _flags(".,;:!?()[]{}\"'"), _flags(".!?:")
 _SIGN = _flags("$+-#")
 
 
+def _lower(text: str) -> str:
+    """text in lower case but for characters that would take another number of bytes."""
+    return "".join(x if len((x := c.lower()).encode()) == len(c.encode()) else c for c in text)
+
+
+def _folded(texts: pa.Array) -> np.ndarray:
+    """The bytes of texts in lower case, each at the place of the original."""
+    lower = pc.utf8_lower(texts)
+    if not pc.all(pc.equal(pc.binary_length(lower), pc.binary_length(texts)), min_count=0).as_py():
+        lower = pa.array([None if t is None else _lower(t) for t in texts.to_pylist()], texts.type)
+    return string_buffers(lower)[0]
+
+
 class Tokens:
-    """Canonical tokens of a batch of texts: their hash, their kind, and the hash of the word as it stands."""
+    """Tokens of a batch of texts: their kind, and the hash of the word in lower case."""
 
     def __init__(self, texts: pa.Array):
         w = Words(texts)
@@ -68,6 +86,8 @@ class Tokens:
             for _ in range(4):
                 w.end -= (w.end - w.start > 1) & _TRIM[raw[w.end - 1]]
                 w.start += (w.end - w.start > 1) & _TRIM[raw[w.start]]
+            if raw.max() > 127:
+                w.raw = _folded(texts)
         self.word = w.hashes(fold=True)
         self.kind = np.zeros(len(w), np.int8)
         if len(w):
@@ -79,19 +99,26 @@ class Tokens:
             self.kind[_UPPER[head] & ~opens] = _NAME
             self.kind[unit] = _UNIT
             self.kind[number] = _NUMBER
-        self.token = np.where(self.kind == _LITERAL, self.word, _PLACEHOLDER[np.maximum(self.kind, 1) - 1])
 
-    def windows(self, n: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the windows that count."""
-        if len(self.token) < n:
+    def windows(self, n: int, literals: int, view: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the windows that count where the kinds of view are placeholders."""
+        if len(self.word) < n:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        h = grams(self.token, n)
-        plain = np.concatenate([[0], np.cumsum(self.kind == _LITERAL)])
+        slot = _among(self.kind, view)
+        h = grams(np.where(slot, _PLACEHOLDER[np.maximum(self.kind, 1) - 1], self.word), n)
+        plain = np.concatenate([[0], np.cumsum(~slot)])
         ok = (self.doc[: len(h)] == self.doc[n - 1 :]) & (plain[n:] - plain[:-n] >= literals)
         at = np.flatnonzero(ok)
         return at, h[at]
 
 
+def _among(kind: np.ndarray, view: tuple[int, ...]) -> np.ndarray:
+    """Which kinds the view has as placeholders."""
+    held = np.zeros(4, bool)
+    held[list(view)] = True
+    return held[kind]
+
+
 _unit_hashes: np.ndarray | None = None
 
 
@@ -102,30 +129,28 @@ def _units() -> np.ndarray:
     return _unit_hashes
 
 
-class Index:
-    """The template windows of one block of items, sorted by hash."""
+class View:
+    """The windows of a block of items in one view, sorted by hash."""
 
-    def __init__(self, ids: list, texts: list[str], window: int, literals: int, coverage: float):
-        self.ids, self.window, self.literals, self.coverage = ids, window, literals, coverage
-        t = Tokens(pa.array(texts, pa.string()))
-        at, h = t.windows(window, literals)
+    def __init__(self, view: tuple[int, ...], t: Tokens, window: int, literals: int):
+        self.view, self.window, self.literals = view, window, literals
+        at, h = t.windows(window, literals, view)
         order = np.argsort(h, kind="stable")
         self.hash, self.item, self.offset = h[order], t.doc[at][order], (at - t.first[t.doc[at]])[order]
-        self.total = np.bincount(t.doc[at], minlength=len(ids))
-        self.first, self.kind, self.word = t.first, t.kind, t.word
+        self.total = np.bincount(t.doc[at], minlength=len(t.count))
+        self.first, self.slot, self.word = t.first, _among(t.kind, view), t.word
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(h >> np.uint64(44)).astype(np.int64)] = True
 
-    def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, bool]]:
-        """(text, item, consistent windows, first word, all slots equal) for each pair that is covered enough."""
-        t = Tokens(texts)
-        at, h = t.windows(self.window, self.literals)
+    def matches(self, t: Tokens) -> dict[tuple[int, int], list]:
+        """Consistent windows, first word, and whether all slots are equal, by (text, item)."""
+        at, h = t.windows(self.window, self.literals, self.view)
         near = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
         at, h = at[near], h[near]
         lo, hi = np.searchsorted(self.hash, h), np.searchsorted(self.hash, h, "right")
         hit = np.flatnonzero(hi > lo)
         if not len(hit):
-            return []
+            return {}
         n = (hi - lo)[hit]
         where = np.repeat(lo[hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
         at = np.repeat(at[hit], n)
@@ -137,7 +162,7 @@ class Index:
         for a, b in zip(cuts, cuts[1:]):
             d, i, shift = int(doc[a]), int(item[a]), int(at[a] - offset[a])
             slots = np.unique((offset[a:b, None] + np.arange(self.window)).ravel())
-            slots = slots[self.kind[self.first[i] + slots] != _LITERAL]
+            slots = slots[self.slot[self.first[i] + slots]]
             ours, theirs = self.word[self.first[i] + slots].tolist(), t.word[shift + slots].tolist()
             if len(set(zip(ours, theirs))) != len(set(ours)) or len(set(ours)) != len(set(theirs)):
                 continue
@@ -145,7 +170,32 @@ class Index:
             p[0].update(offset[a:b].tolist())
             p[1] = shift - int(t.first[d]) if p[1] is None else min(p[1], shift - int(t.first[d]))
             p[2] &= ours == theirs
-        return [(d, i, len(p[0]), max(0, p[1]), p[2]) for (d, i), p in pairs.items() if len(p[0]) >= self.coverage * self.total[i]]
+        return pairs
+
+
+class Index:
+    """One block of items in all views."""
+
+    def __init__(self, ids: list, texts: list[str], window: int, literals: int, coverage: float):
+        self.ids, self.coverage = ids, coverage
+        t = Tokens(pa.array(texts, pa.string()))
+        self.views = [View(v, t, window, literals) for v in VIEWS]
+
+    def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int, bool]]:
+        """(text, item, consistent windows, the item's windows, first word, all slots equal) for each pair that is covered enough, in the view that covers it most."""
+        t = Tokens(texts)
+        best: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
+        for view in self.views:
+            for (d, i), (windows, first, same) in view.matches(t).items():
+                n, total = len(windows), int(view.total[i])
+                if n < self.coverage * total:
+                    continue
+                old = best.get((d, i))
+                if old is None or n * old[1] > old[0] * total:
+                    best[d, i] = n, total, max(0, first), same and (old is None or old[3])
+                else:
+                    best[d, i] = *old[:3], old[3] and same
+        return [(d, i, *x) for (d, i), x in sorted(best.items())]
 
 
 def _indexes(benchmark: DataFrame, window: int, literals: int, coverage: float) -> Iterator[Index]:
@@ -167,7 +217,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """(doc_id, item_id, matched_windows, item_windows, first_word, exact): documents that contain an item.
 
     docs (doc_id, text), benchmark (item_id, text).  exact: all slots hold the
-    item's own values.  Items of fewer than ``window`` words have no windows and
+    item's own values.  Windows are those of the view that covers most of the item.
+    Items of fewer than ``window`` words have no windows and
     are never reported, nor are null or empty texts on either side.  Repeated
     rows are reported as often as they occur; a null id stays null.  An empty
     table on either side gives an empty result; other columns are not read.
@@ -184,7 +235,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             for table in S.gathered(batches, _CHUNK):
                 found = index.matches(table["text"])
                 ids = table["doc_id"].to_pylist() if found else []
-                rows = [{"doc_id": ids[d], "item_id": index.ids[i], "matched_windows": n, "item_windows": int(index.total[i]), "first_word": first, "exact": same} for d, i, n, first, same in found]
+                rows = [{"doc_id": ids[d], "item_id": index.ids[i], "matched_windows": n, "item_windows": total, "first_word": first, "exact": same} for d, i, n, total, first, same in found]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows)
 

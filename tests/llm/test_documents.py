@@ -203,6 +203,15 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert [r.doc_id for r in drop_contaminated(df, items(spark, ITEM, second)).collect()] == [1]
 
 
+def test_decontamination_in_capitals(spark):
+    item = "Der Zug fährt um 7 Uhr ab und Anna trägt 12 schwere Koffer über die lange Brücke zu Peter nach Köln weil dort niemand wartet"
+    other = item.replace("12", "15")
+    assert found(spark, [item.upper(), item.title(), other.upper(), "Vorher. " + item], item) == [(0, 0, True), (1, 0, True), (2, 0, False), (3, 0, True)]
+    assert found(spark, [item, item.lower()], item.upper()) == [(0, 0, True), (1, 0, True)]
+    df = spark.createDataFrame([(0, f"SO IT IS.\n{ITEM.upper()}"), (1, "NOTHING OF IT")], "doc_id long, text string")
+    assert [r.doc_id for r in drop_contaminated(df, items(spark, ITEM)).collect()] == [1]
+
+
 # --- 8 ---
 
 
