@@ -7,8 +7,9 @@ also read with names as literal words, and with all words literal (``VIEWS``).
 All windows of eight such tokens with at least four literal words are hashed and
 joined with the windows of the benchmark's items, view by view.  Matches of one document and
 item on one alignment are then checked for slot consistency: each value of the
-item must stand for one value in the document throughout, and different values
-for different ones.  A pair is reported if consistent windows cover at least
+item must stand for one value in the document, that of most of its slots, and
+windows that cover a slot with another one don't count.  Different values may
+become equal.  A pair is reported if consistent windows cover at least
 half of the item's in one of the views.  In capitals a changed name costs the windows that cover it.
 
 Scale: the benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, so the index
@@ -18,7 +19,7 @@ documents without a shuffle.  Hot passages cost one row for each document.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +130,18 @@ def _units() -> np.ndarray:
     return _unit_hashes
 
 
+def _conflicts(ours: list[int], theirs: list[int]) -> list[int]:
+    """The slots that hold another value than most of those with the item's same value; in a tie the item's own value counts, or none."""
+    votes: dict[int, Counter] = defaultdict(Counter)
+    for x, y in zip(ours, theirs):
+        votes[x][y] += 1
+    value = {}
+    for x, counts in votes.items():
+        (y, n), *others = counts.most_common(2)
+        value[x] = y if not others or others[0][1] < n else x if counts[x] == n else None
+    return [k for k, (x, y) in enumerate(zip(ours, theirs)) if y != value[x]]
+
+
 class View:
     """The windows of a block of items in one view, sorted by hash."""
 
@@ -164,10 +177,14 @@ class View:
             slots = np.unique((offset[a:b, None] + np.arange(self.window)).ravel())
             slots = slots[self.slot[self.first[i] + slots]]
             ours, theirs = self.word[self.first[i] + slots].tolist(), t.word[shift + slots].tolist()
-            if len(set(zip(ours, theirs))) != len(set(ours)) or len(set(ours)) != len(set(theirs)):
-                continue
+            held = offset[a:b]
+            if len(set(zip(ours, theirs))) != len(set(ours)):
+                wrong = slots[_conflicts(ours, theirs)]
+                held = held[np.searchsorted(wrong, held + self.window) == np.searchsorted(wrong, held)]
+                if not len(held):
+                    continue
             p = pairs[d, i]
-            p[0].update(offset[a:b].tolist())
+            p[0].update(held.tolist())
             p[1] = shift - int(t.first[d]) if p[1] is None else min(p[1], shift - int(t.first[d]))
             p[2] &= ours == theirs
         return pairs
@@ -216,8 +233,8 @@ def _indexes(benchmark: DataFrame, window: int, literals: int, coverage: float)
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, item_id, matched_windows, item_windows, first_word, exact): documents that contain an item.
 
-    docs (doc_id, text), benchmark (item_id, text).  exact: all slots hold the
-    item's own values.  Windows are those of the view that covers most of the item.
+    docs (doc_id, text), benchmark (item_id, text).  exact: all slots of
+    matched windows hold the item's own values.  Windows are those of the view that covers most of the item.
     Items of fewer than ``window`` words have no windows and
     are never reported, nor are null or empty texts on either side.  Repeated
     rows are reported as often as they occur; a null id stays null.  An empty

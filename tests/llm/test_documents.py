@@ -203,6 +203,19 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert [r.doc_id for r in drop_contaminated(df, items(spark, ITEM, second)).collect()] == [1]
 
 
+def test_decontamination_conflicting_slots(spark):
+    words = [f"w{i}x" for i in range(60)]
+    words[5] = words[25] = words[45] = "Tom"
+    words[12], words[32], words[52] = "3", "5", "5"
+    item = " ".join(words)
+    put = lambda **new: " ".join(new.get(f"at{i}", w) for i, w in enumerate(words))
+    texts = [put(at45="Tim"), put(at52="6"), put(at12="4", at32="4", at52="4"), put(at32="4", at52="7"), put(at5="Ann", at25="Eve", at45="Sue", at12="8", at32="9", at52="10")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.matched_windows, r.item_windows, r.exact) for r in find_contamination(df, items(spark, item)).collect()}
+    # a conflict costs the eight windows that cover its slot; the last slots are covered by eight windows, too; the last text has no consistent half
+    assert got == {0: (45, 53, False), 1: (45, 53, False), 2: (53, 53, False), 3: (37, 53, False)}
+
+
 def test_decontamination_in_capitals(spark):
     item = "Der Zug fährt um 7 Uhr ab und Anna trägt 12 schwere Koffer über die lange Brücke zu Peter nach Köln weil dort niemand wartet"
     other = item.replace("12", "15")
