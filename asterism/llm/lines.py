@@ -1,6 +1,6 @@
 """Operator 2: removal of repeated multi-line chunks at content-defined boundaries.
 
-A text is its lines.  A rolling hash over the last two lines' hashes decides
+A text is its lines.  A rolling hash over the last two non-blank lines' hashes decides
 where a chunk ends, so boundaries depend on nearby lines alone and come back in
 step after an insertion.  A chunk with two or more non-blank lines that stands,
 byte for byte, at an earlier place (smaller doc_id, or earlier in the same
@@ -34,21 +34,22 @@ def _line_hash(line: bytes) -> int:
 
 
 def chunks(text: bytes) -> list[tuple[int, int]]:
-    """Line ranges of a text's chunks."""
+    """Line ranges of a text's chunks; blank lines don't count and go with the line before them."""
     lines = text.split(b"\n")
-    out, start, before = [], 0, 0
+    out, start, before, length, ended = [], 0, 0, 0, False
     for i, line in enumerate(lines):
+        if not line.strip():
+            continue
+        if ended:
+            out.append((start, i))
+            start, length = i, 0
         h = _line_hash(line)
         rolled = (before * 0x9E3779B97F4A7C15 + h) & _MASK
         before = h
-        length = i + 1 - start
+        length += 1
         mixed = (((rolled ^ (rolled >> 29)) * 0xBF58476D1CE4E5B9) & _MASK) >> 40
-        if length >= MOST_LINES or (length >= LEAST_LINES and mixed % DIVISOR == 0):
-            out.append((start, i + 1))
-            start = i + 1
-    if start < len(lines):
-        out.append((start, len(lines)))
-    return out
+        ended = length >= MOST_LINES or (length >= LEAST_LINES and mixed % DIVISOR == 0)
+    return [*out, (start, len(lines))]
 
 
 def removable(lines: list[bytes]) -> bool:

@@ -150,6 +150,20 @@ def test_lines_planted(spark):
     assert all(f"own text {i * 7}" in got[i].text and f"and an end {i}" in got[i].text for i in got)
 
 
+def test_blank_lines_do_not_count(spark, corpus):
+    filled = lambda t: [[x for x in t.split("\n")[a:b] if x.strip()] for a, b in chunks(t.encode())]
+    for _, t in corpus:
+        if t and t.strip():
+            assert filled(t) == filled(t.replace("\n", "\n\n")) == filled(t.replace("\n", "\n \n\n"))
+    passage = "\n".join(f"paragraph {i} of a passage" for i in range(12))
+    plain = [(i, f"own {i}\n{passage}\nend {i}") for i in range(4)]
+    rows = plain + [(100 + i, t.replace("\n", "\n\n")) for i, t in plain]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(4):
+        assert [x for x in got[100 + i].split("\n") if x] == got[i].split("\n")
+    assert len(got[2].split("\n")) <= 8 and len(got[3].split("\n")) <= 8
+
+
 def test_lines_repeated_rows_and_null_ids(spark):
     t = "\n".join(f"line {i} with words" for i in range(20))
     rows = [(5, t), (5, t), (None, t), (9, t)]
