@@ -14,13 +14,12 @@ template's: similarity 1, so all bands collide.  Windows that are
 broken still collide with probability 1 - (1 - J)^3, 0.94 at J = 0.6.
 
 Scale: one narrow pass without shuffle, join or Python; templates are constants of
-the plan, so their number is checked, and more of them go in several passes.
+the plan, in arrays of at most MAX_SHINGLES shingles or one template.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,28 +28,45 @@ SHINGLE, WINDOW, STRIDE, SHORT, CONTAINMENT = 5, 4, 2, 6, 0.8
 #: One for each band.
 _SALTS = (0x1F3D5B79A2C4E688, 0x6A09E667F3BCC908, 0x3C6EF372FE94F82B)
 MAX_SHINGLES = 4000
-# License notices, (SPDX identifier, words of the notice).
+# Parts that several notices share.
+_MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'
+_MIT_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+_ISC_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_GPL = "This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+# License notices, (SPDX identifier, words of the notice).  Licenses that share clauses are whole, so that each holds what tells it from the others.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", f"{_MIT}, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {_MIT_AS_IS}"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0", _GPL.format("program", "General Public License", "3")),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", f"{_BSD} {_BSD_NAMES} {_BSD_AS_IS}"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", f"{_ISC}, provided that the above copyright notice and this permission notice appear in all copies. {_ISC_AS_IS}"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_AS_IS}"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("0BSD", f"{_ISC}. {_ISC_AS_IS}"),
+    ("MIT-0", f"{_MIT}. {_MIT_AS_IS}"),
+    ("GPL-2.0", _GPL.format("program", "General Public License", "2")),
+    ("LGPL-2.1", _GPL.format("library", "Lesser General Public License", "2.1")),
+    ("LGPL-3.0", _GPL.format("program", "Lesser General Public License", "3")),
+    ("AGPL-3.0", _GPL.format("program", "Affero General Public License", "3")),
 )
 PUNCTUATION = ".,;:!?()\"'"
 
@@ -109,11 +125,18 @@ def _scan(docs: DataFrame, templates: Sequence[tuple[str, str]], containment: fl
     hits = [_among(h, single), *[_among(_band(h, salt, STRIDE), b) for salt, b in zip(_SALTS, bands)]]
     # the generator keeps the optimizer from evaluating the arrays again for each of their uses
     found = hashed.select("doc_id", "words", F.explode(F.array(F.array_distinct(F.concat(*hits)))).alias("hits")).where(F.size("hits") > 0)
-    known = F.array(*[F.struct(F.lit(t["license"]).alias("license"), F.lit(t["id"]).alias("template"), F.array(*map(F.lit, t["shingles"])).alias("shingles"), F.array(*[F.lit(x) for x in sorted({*t["single"], *t["band0"], *t["band1"], *t["band2"]})]).alias("posted")) for t in posted])
+    groups, held = [[]], 0
+    for t in posted:
+        if held + len(t["shingles"]) > MAX_SHINGLES and groups[-1]:
+            groups.append([])
+            held = 0
+        groups[-1].append(t)
+        held += len(t["shingles"])
+    known = [F.array(*[F.struct(F.lit(t["license"]).alias("license"), F.lit(t["id"]).alias("template"), F.array(*map(F.lit, t["shingles"])).alias("shingles"), F.array(*[F.lit(x) for x in sorted({*t["single"], *t["band0"], *t["band1"], *t["band2"]})]).alias("posted")) for t in group]) for group in groups]
     texts = found.select("doc_id", "hits", F.explode(F.array(_texts(F.col("words")))).alias("texts"))
-    retrieved = F.filter(known, lambda t: F.arrays_overlap(t["posted"], F.col("hits")))
-    checked = F.transform(retrieved, lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), F.array_intersect(F.col("texts"), t["shingles"]).alias("found"), F.size(t["shingles"]).cast("long").alias("total")))
-    enough = F.filter(checked, lambda m: F.size(m["found"]) / m["total"] >= containment)
+    retrieved = [F.filter(k, lambda t: F.arrays_overlap(t["posted"], F.col("hits"))) for k in known]
+    checked = [F.transform(x, lambda t: F.struct(t["license"].alias("license"), t["template"].alias("template"), F.array_intersect(F.col("texts"), t["shingles"]).alias("found"), F.size(t["shingles"]).cast("long").alias("total"))) for x in retrieved]
+    enough = F.concat(*[F.filter(x, lambda m: F.size(m["found"]) / m["total"] >= containment) for x in checked])
     held = texts.select("doc_id", F.explode(F.array(enough)).alias("held"))
 
     def better(m: Column) -> Column:
@@ -130,24 +153,13 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
 
     template: its place in the list; shared of total: its distinct shingles found
     in the text.  A template is left out if all that it found belongs to one of
-    higher containment, as with two versions of one notice (among templates of
-    one pass; up to MAX_SHINGLES shingles are one).
+    higher containment, as with two versions of one notice.
 
     Null, empty and short texts contain nothing.  Repeated rows are reported
     each; a null doc_id stays null.  No templates or an empty table give an
     empty result; other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    passes, held = [[]], 0
-    for t in templates:
-        n = max(1, len(t[1].split()) - SHINGLE + 1)
-        if held + n > MAX_SHINGLES and passes[-1]:
-            passes.append([])
-            held = 0
-        passes[-1].append(t)
-        held += n
     if not templates:
         return docs.sparkSession.createDataFrame([], "doc_id long, license string, template int, shared long, total long, containment double")
-    starts = [sum(map(len, passes[:i])) for i in range(len(passes))]
-    found = [_scan(docs, p, containment).withColumn("template", F.col("template") + F.lit(s)) for p, s in zip(passes, starts)]
-    return reduce(DataFrame.union, found)
+    return _scan(docs, templates, containment)

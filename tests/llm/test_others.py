@@ -125,6 +125,17 @@ def test_licenses_planted(spark):
     assert [r.template for r in got if r.doc_id == 106] == [4] and [r.template for r in got if r.doc_id == 105] == [3]
 
 
+def test_licenses_are_not_their_neighbours(spark):
+    met = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    notices = [(n, x) for n, x in TEMPLATES if len(x.split()) > 25]
+    assert {"BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "MIT", "MIT-0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"} <= {n for n, _ in notices}
+    df = spark.createDataFrame([(i, f"Copyright 2020 somebody.\n{x}\nand more") for i, (_, x) in enumerate(notices)] + [(99, met)], "doc_id long, text string")
+    got = {}
+    for r in scan_licenses(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {i: {n} for i, (n, _) in enumerate(notices)}
+
+
 def test_licenses_several_passes(spark, monkeypatch):
     from asterism.llm import licenses
 
