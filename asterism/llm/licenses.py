@@ -1,7 +1,7 @@
 """Operator 3: license scans, with DataFrame functions only.
 
-A text is its words, lower-cased and without punctuation; a shingle is five of
-them.  Overlapping windows of four shingles, at every second shingle, get three
+A text is its words, lower-cased and without punctuation; what has no letter or
+digit, as the markers of comment lines, is no word.  A shingle is five words.  Overlapping windows of four shingles, at every second shingle, get three
 MinHash values, each a band of its own; templates of fewer than six shingles are
 posted by their single shingles, windows of one.  A band that a template's window (at any
 offset) has retrieves the template, and the share of the template's shingles
@@ -73,8 +73,8 @@ PUNCTUATION = ".,;:!?()\"'"
 
 def words_of(text: Column) -> Column:
     plain = F.translate(F.lower(F.coalesce(text.cast("string"), F.lit(""))), PUNCTUATION, "")
-    return F.array_remove(F.split(plain, r"[\x20\x09-\x0D]+"), "")
-
+    # between words stand blanks, and whatever has no letter or digit between them
+    return F.array_remove(F.split(F.concat(F.lit(" "), plain, F.lit(" ")), r"[\x20\x09-\x0D](?:[^\p{L}\p{N}]*[\x20\x09-\x0D])?"), "")
 
 
 def _hashes(words: Column) -> Column:

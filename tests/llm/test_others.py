@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import textwrap
 
 import numpy as np
 import pytest
@@ -136,6 +137,18 @@ def test_licenses_are_not_their_neighbours(spark):
     assert got == {i: {n} for i, (n, _) in enumerate(notices)}
 
 
+def test_licenses_in_comments(spark):
+    rows, expected = [], set()
+    for name, text in TEMPLATES:
+        if len(text.split()) > 25:
+            lines = textwrap.wrap(text, 76)
+            for marked in ("\n".join(f"# {x}" for x in lines), "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */", "\n//\n".join(f"// {x}" for x in lines), "# " * 20_000 + "\n-- ".join(lines)):
+                expected.add((len(rows), name, 1.0))
+                rows.append((len(rows), marked))
+    df = spark.createDataFrame([*rows, (-1, "# * // -- " * 50)], "doc_id long, text string")
+    assert {(r.doc_id, r.license, r.containment) for r in scan_licenses(df).collect()} == expected
+
+
 def test_licenses_several_passes(spark, monkeypatch):
     from asterism.llm import licenses
 
