@@ -75,12 +75,36 @@ def small_batches(df: DataFrame) -> None:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+#: Partitions of one exchange at most: with more the driver's bookkeeping (maps x partitions) outweighs the gain.
+MOST_PARTITIONS = 20_000
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """About the bytes of df's sources as stored; if one does not know its size, half of the bytes of the strings, by one pass over them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) < 1 << 55:
+        return sum(sizes)
+    strings = [F.coalesce(F.octet_length(F.col(f"`{name}`")), F.lit(0)) for name, kind in df.dtypes if kind == "string"]
+    return int(df.agg(F.sum(sum(strings, F.lit(0)))).first()[0] or 0) // 2 if strings else 0
+
+
 def slices(df: DataFrame, mb: int = 12) -> int:
-    """How many parts of about mb MB of stored input df has; the session's shuffle partitions at least."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(100_000, stored // (mb << 20))) if stored < 1 << 55 else least
+    """How many cells of about mb MB of stored input df has, however many that are; the session's shuffle partitions at least.
+
+    A cell bounds what is in memory at once.  partitions() of them are dealt; a task streams its cells one by one.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), stored_bytes(df) // (mb << 20))
+
+
+def partitions(cells: int) -> int:
+    return min(cells, MOST_PARTITIONS)
+
+
+def by_cells(df: DataFrame, cells: int, *order: str) -> DataFrame:
+    """Rows dealt by ``cell``, a number below cells: each partition has a run of cells, as many as the others, sorted by cell and order."""
+    n = partitions(cells)
+    return df.repartitionById(n, F.expr(f"cast((cast(cell AS bigint) * {n}L) div {cells}L AS int)")).sortWithinPartitions("cell", *order)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], limit: int, column: str = "text") -> Iterator[pa.Table]:
@@ -123,53 +147,66 @@ def tidy(f):
     return run
 
 
-def by_key(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Rows that come sorted by a key, one table for each key."""
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], limit: int) -> Iterator[tuple[tuple, pa.Table, bool]]:
+    """Rows that come sorted by keys, as (key, table, whole) in pieces of about limit bytes; whole: the table is all that the key has."""
     held: list[pa.RecordBatch] = []
-    last = None
+    size, last, first = 0, None, True
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and keys[a] != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
+        columns = [batch.column(k).to_pylist() for k in keys]
+        at = 0
+        for end in range(1, batch.num_rows + 1):
+            if end < batch.num_rows and all(c[end] == c[at] for c in columns):
+                continue
+            key = tuple(c[at] for c in columns)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held), first
+                held, size, first = [], 0, True
+            elif key != last:
+                first = True
+            last = key
+            part = batch.slice(at, end - at)
+            each = max(1, int(part.num_rows * limit / max(part.nbytes, limit)))
+            for k in range(0, part.num_rows, each):
+                if size >= limit:
+                    yield last, pa.Table.from_batches(held), False
+                    held, size, first = [], 0, False
+                held.append(part.slice(k, each))
+                size += held[-1].nbytes
+            at = end
     if held:
-        yield pa.Table.from_batches(held)
+        yield last, pa.Table.from_batches(held), first
 
 
-def by_parts(df: DataFrame, n: int, key: str, *order: str) -> DataFrame:
-    """Rows of a key together in one of n partitions and sorted by it, for by_key()."""
-    return df.repartition(n, F.col(key)).sortWithinPartitions(key, *order)
-
-
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b), for each node that has an edge.
 
     Alternating stars: every node hangs its larger neighbours, then its smaller
     ones, on its smallest neighbour, until nothing changes.  The number of rounds grows with the logarithm of the longest path.
     Each round ends in a written table; nothing is collected.
+
+    rounds: after so many, each node gets the smallest node that it hangs on by then.  Nodes
+    with one such are connected; those with different ones may be as well.
     """
     spark = edges.sparkSession
     pairs, path = written(edges.where("a != b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct(), "edges")
-    before = None
-    while True:
+    before, done = None, 0
+    while done != rounds:
         # large star: neighbours above a node go to the node's smallest neighbour
         both = pairs.union(pairs.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         # small star: edges now point down; a node's smaller neighbours and itself go to the smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b"))).distinct()
         new, new_path = written(small, "edges")
-        stat = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        done += 1
+        stat = None if done == rounds else new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         remove(spark, path)
         pairs, path = new, new_path
-        if stat == before or not stat["n"]:
+        if stat and (stat == before or not stat["n"]):
             break
         before = stat
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
+    out = pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct())
+    return out if rounds is None else out.groupBy("node").agg(F.min("component").alias("component"))

@@ -24,6 +24,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def hash_of_long(x: np.ndarray) -> np.ndarray:
+    """What Spark's xxhash64() gives for one bigint, as int64."""
+    # The primes of the XXH64 algorithm; Spark's seed.
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    h = _turn(np.ascontiguousarray(x, np.int64).view(np.uint64) * p2, 31) * p1
+    h = _turn(h ^ (p5 + np.uint64(42 + 8)), 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def seeds(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit numbers that depend on seed alone."""
     start = np.uint64((seed * 2 + 1) * (0x9E3779B97F4A7C15 >> 1) % 2**64)

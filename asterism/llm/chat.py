@@ -147,7 +147,7 @@ def format_conversations(conversations: DataFrame, tokens: int = PACK_TOKENS, mo
     work: its turns must fit a task.
     """
     S.small_batches(conversations)
-    n = S.slices(conversations)
+    n = S.partitions(S.slices(conversations))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t"), _before).alias("turns"))
     paths = whole.mapInArrow(S.tidy(_chains), "conv_id long, turns array<struct<turn: bigint, role: string, text: string>>, path binary")

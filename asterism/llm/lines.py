@@ -123,11 +123,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     n_lines or n_lines_removed are replaced.  An empty table stays empty.
     """
     S.small_batches(docs)
-    n = S.slices(docs)
+    n = S.partitions(S.slices(docs))
     own = docs.drop("n_lines", "n_lines_removed")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spots = texts.mapInArrow(S.tidy(_emit), "key long, doc_id long, chunk int, body binary")
-    gone = S.by_parts(spots, n, "key", "doc_id", "chunk").mapInArrow(S.tidy(_compare), "doc_id long, chunk int")
+    gone = spots.repartition(n, "key").sortWithinPartitions("key", "doc_id", "chunk").mapInArrow(S.tidy(_compare), "doc_id long, chunk int")
     gone = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("chunk").alias("__gone"))
     schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_lines_removed", T.LongType())])
     names = own.columns

@@ -12,12 +12,18 @@ Scale: a task first settles what it can alone.  Of equal windows in its rows
 only those of the smallest document are sent on, so a passage in a third of all
 documents sends one row for each task, not one for each document.  What is sent
 is one entry for each run of windows with one anchor, as packed arrays, dealt
-by anchor; ranges come back dealt by document and meet the texts there.  A
+by anchor into cells of bounded size.  A phrase that many different passages share makes a hot anchor:
+a task that has more than ``HOT`` windows of it deals these over all cells and
+tells the anchor's own cell.  Such windows, and all of a cell that is larger than
+expected, are dealt a second time by their own hash and compared there, in
+pieces of bounded size; equal windows meet all the same.  Ranges
+come back dealt by document and meet the texts there.  A
 window is compared by its anchor's 64-bit hash and 48 bits of its own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,22 +32,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _spark as S
-from ._text import Words, grams, mix64, pack, sliding_min, unpack
+from ._text import Words, grams, hash_of_long, mix64, pack, sliding_min, unpack
 
 WINDOW, ANCHOR = 13, 4
+#: Windows of one anchor in a task's chunk from which it counts as hot.
+HOT = 64
+#: Packed bytes that are expanded at once.
+PIECE = 40 << 20
 _CHUNK = 4 << 20
-_BLOBS = "part int, m binary, doc binary, start binary, span binary, hash binary, done boolean"
 _LOW48 = np.uint64((1 << 48) - 1)
+#: Kinds of rows: marked ranges, names of hot anchors, windows of hot anchors, and other windows.
+MARK, NAMES, HEAVY, LIGHT = range(4)
+_BLOBS = "cell int, kind int, m binary, doc binary, start binary, span binary, hash binary"
+_SCHEMA = pa.schema([("cell", pa.int32()), ("kind", pa.int32()), *[(x, pa.binary()) for x in ("m", "doc", "start", "span", "hash")]])
 
 
-def _home(ids: np.ndarray, n: int) -> np.ndarray:
-    """The part of a document; the same as home_of()."""
-    return ((ids ^ (ids >> 17)) % n).astype(np.int32)
+def _row(cell: int, kind: int, m: bytes = b"", doc: bytes = b"", start: bytes = b"", span: bytes = b"", hash: bytes = b"") -> dict:
+    return {"cell": int(cell), "kind": kind, "m": m, "doc": doc, "start": start, "span": span, "hash": hash}
 
 
-def home_of(doc_id: str, n: int) -> F.Column:
-    c = F.col(doc_id)
-    return F.pmod(c.bitwiseXOR(F.shiftright(c, 17)), F.lit(n)).cast("int")
+def _groups(cell: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[int, int]]]:
+    """An order by cell, and the bounds of each cell in it."""
+    order = np.argsort(cell, kind="stable")
+    c = cell[order]
+    cuts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]])).tolist() if len(c) else []
+    return order, zip(cuts, cuts[1:])
 
 
 def _ranges(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,27 +69,60 @@ def _ranges(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _marks(doc: np.ndarray, pos: np.ndarray, n: int) -> Iterator[dict]:
-    """Repeated windows (document, position) as rows dealt by document."""
+    """Repeated windows (document, position) as rows dealt by document, as home_of() deals texts."""
     order = np.lexsort((pos, doc))
     d, first, count = _ranges(doc[order], pos[order])
-    home = _home(d, n)
-    order = np.argsort(home, kind="stable")
-    d, first, count, home = d[order], first[order], count[order], home[order]
-    cuts = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]])) if len(home) else []
-    for a, b in zip(cuts, cuts[1:]):
-        yield {"part": int(home[a]), "m": b"", "doc": pack(np.diff(d[a:b], prepend=0)), "start": pack(first[a:b].astype(np.int32)), "span": pack(count[a:b].astype(np.int32)), "hash": b"", "done": True}
+    home = hash_of_long(d) % n
+    order, groups = _groups(home)
+    for a, b in groups:
+        o = order[a:b]
+        yield _row(home[o[0]], MARK, doc=pack(np.diff(d[o], prepend=0)), start=pack(first[o].astype(np.int32)), span=pack(count[o].astype(np.int32)))
+
+
+def home_of(doc_id: str, n: int) -> F.Column:
+    """The cell of a document; a text without an id goes by itself."""
+    return F.pmod(F.when(F.col(doc_id).isNotNull(), F.xxhash64(doc_id)).otherwise(F.xxhash64("text")), F.lit(n)).cast("int")
+
+
+def _low(wh: np.ndarray) -> bytes:
+    return wh.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
 
+def _entries(kind: int, cell: np.ndarray, m: np.ndarray, wh: np.ndarray, doc: np.ndarray, pos: np.ndarray, first: np.ndarray, span: np.ndarray) -> Iterator[dict]:
+    """Runs of windows, each from first on and of one anchor, as rows of their cells."""
+    order, groups = _groups(cell)
+    for a, b in groups:
+        o = order[a:b]
+        o = o[np.argsort(doc[first[o]], kind="stable")]
+        r, s = first[o], span[o]
+        every = np.repeat(r - np.cumsum(s) + s, s) + np.arange(s.sum())
+        yield _row(cell[o[0]], kind, m[r].tobytes(), pack(np.diff(doc[r], prepend=0)), pack(pos[r].astype(np.int32)), pack(s.astype(np.int32)), _low(wh[every]))
 
-def _table(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist(rows, schema)
 
+def _windows(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor, own hash, document and position of each window in rows that _entries() made."""
+    span = np.concatenate([unpack(r["span"], np.int32) for r in rows]).astype(np.int64)
+    m = np.repeat(np.concatenate([np.frombuffer(r["m"], np.uint64) for r in rows]), span)
+    doc = np.repeat(np.concatenate([np.cumsum(unpack(r["doc"], np.int64)) for r in rows]), span)
+    start = np.concatenate([unpack(r["start"], np.int32) for r in rows]).astype(np.int64)
+    wide = np.zeros((len(m), 8), np.uint8)
+    wide[:, :6] = np.frombuffer(b"".join(r["hash"] for r in rows), np.uint8).reshape(-1, 6)
+    pos = np.repeat(start - np.cumsum(span) + span, span) + np.arange(len(m))
+    return m, wide.reshape(-1).view(np.uint64), doc, pos
 
-_SCHEMA = pa.schema([("part", pa.int32()), ("m", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("span", pa.binary()), ("hash", pa.binary()), ("done", pa.bool_())])
+
+def _key(m: np.ndarray, wh: np.ndarray) -> np.ndarray:
+    return mix64(m + wh * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _batch(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
 def _first_of_equal(m: np.ndarray, wh: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each window the smallest document that has an equal one here."""
-    key = mix64(m + wh * np.uint64(0x9E3779B97F4A7C15))
+    key = _key(m, wh)
     order = np.argsort(key, kind="stable")
     k = key[order]
     same = k[1:] == k[:-1]
@@ -90,7 +138,7 @@ def _first_of_equal(m: np.ndarray, wh: np.ndarray, doc: np.ndarray) -> np.ndarra
     return out
 
 
-def _seeds(window: int, anchor: int, n: int):
+def _seeds(window: int, anchor: int, n: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in S.gathered(batches, _CHUNK):
             table = table.filter(table["doc_id"].is_valid())
@@ -114,62 +162,70 @@ def _seeds(window: int, anchor: int, n: int):
             cut = (m[1:] != m[:-1]) | (local[1:] != local[:-1]) | (pos[1:] != pos[:-1] + 1)
             first = np.flatnonzero(np.concatenate([[True], cut]))
             span = np.diff(np.concatenate([first, [len(m)]]))
-            part = (m[first] % np.uint64(n)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            order = order[np.lexsort((doc[first][order], part[order]))]
-            part, runs, spans = part[order], first[order], span[order]
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])).tolist()
-            for a, b in zip(cuts, cuts[1:]):
-                r, s = runs[a:b], spans[a:b]
-                every = np.repeat(r - np.concatenate([[0], np.cumsum(s)[:-1]]), s) + np.arange(s.sum())
-                low = wh[every].view(np.uint8).reshape(-1, 8)[:, :6]
-                rows.append({"part": int(part[a]), "m": m[r].tobytes(), "doc": pack(np.diff(doc[r], prepend=0)), "start": pack(pos[r].astype(np.int32)), "span": pack(s.astype(np.int32)), "hash": low.tobytes(), "done": False})
-            yield _table(rows, _SCHEMA)
+            anchors, which = np.unique(m[first], return_inverse=True)
+            hot = anchors[np.bincount(which, span) > most]
+            heavy = np.isin(m[first], hot)
+            own = (m[first] % np.uint64(n)).astype(np.int64)
+            spread = (mix64(m[first] ^ hash_of_long(doc[first]).view(np.uint64)) % np.uint64(n)).astype(np.int64)
+            for kind, chosen, cell in ((LIGHT, ~heavy, own), (HEAVY, heavy, spread)):
+                rows += _entries(kind, cell[chosen], m, wh, doc, pos, first[chosen], span[chosen])
+            order, groups = _groups((hot % np.uint64(n)).astype(np.int64))
+            rows += [_row(hot[order[a]] % np.uint64(n), NAMES, hot[order[a:b]].tobytes()) for a, b in groups]
+            yield from _batch(rows)
 
     return run
 
 
-def _extend(n: int):
+def _extend(n: int, piece: int):
+    """Cells by anchor in; marks, and windows to deal by their own hash, out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in S.by_key(batches, "part"):
-            done = [r for r in table.to_pylist() if r["done"]]
-            if done:
-                yield _table(done, _SCHEMA)
-            rows = [r for r in table.to_pylist() if not r["done"]]
-            if not rows:
+        at, hot = None, np.zeros(0, np.uint64)
+        for (cell, kind), table, whole in S.runs(batches, ("cell", "kind"), piece):
+            if kind == MARK:
+                yield from table.to_batches()
+                continue
+            rows = table.to_pylist()
+            if cell != at:
+                at, hot = cell, np.zeros(0, np.uint64)
+            if kind == NAMES:
+                hot = np.union1d(hot, np.concatenate([np.frombuffer(r["m"], np.uint64) for r in rows]))
                 continue
-            m = np.concatenate([np.frombuffer(r["m"], np.uint64) for r in rows])
-            doc = np.concatenate([np.cumsum(unpack(r["doc"], np.int64)) for r in rows])
-            start = np.concatenate([unpack(r["start"], np.int32) for r in rows]).astype(np.int64)
-            span = np.concatenate([unpack(r["span"], np.int32) for r in rows]).astype(np.int64)
-            low = np.frombuffer(b"".join(r["hash"] for r in rows), np.uint8).reshape(-1, 6)
-            wh = np.zeros((len(low), 8), np.uint8)
-            wh[:, :6] = low
-            wh = wh.reshape(-1).view(np.uint64)
-            del rows, low
-            begin = np.concatenate([[0], np.cumsum(span)[:-1]])
-            pos = np.repeat(start - begin, span) + np.arange(len(wh))
-            docs = np.repeat(doc, span)
-            late = _first_of_equal(np.repeat(m, span), wh, docs) != docs
-            if out := list(_marks(docs[late], pos[late], n)):
-                yield _table(out, _SCHEMA)
+            m, wh, doc, pos = _windows(rows)
+            late = _first_of_equal(m, wh, doc) != doc
+            out = list(_marks(doc[late], pos[late], n))
+            send = np.flatnonzero(~late & (np.isin(m, hot) if kind == LIGHT and whole else True))
+            again = (_key(m[send], wh[send]) % np.uint64(n)).astype(np.int64)
+            yield from _batch(out + list(_entries(LIGHT, again, m, wh, doc, pos, send, np.ones(len(send), np.int64))))
 
     return run
 
 
+def _settle(n: int):
+    """Cells by window hash in; only marks out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, table, whole in S.runs(batches, ("cell", "kind"), 1 << 62):
+            if key[1] == MARK:
+                yield from table.to_batches()
+                continue
+            m, wh, doc, pos = _windows(table.to_pylist())
+            late = _first_of_equal(m, wh, doc) != doc
+            yield from _batch(list(_marks(doc[late], pos[late], n)))
+
+    return run
+
+
+_OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>"
+_OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.int64()))])
+
+
 def _apply(window: int):
-    """Texts of one part (doc_id, text) and its ranges in; one row for each text out."""
-
-    def run(key, texts: pa.Table, marks: pa.Table) -> pa.Table:
-        import hashlib
-
-        found = [(np.cumsum(unpack(r["doc"], np.int64)), unpack(r["start"], np.int32).astype(np.int64), unpack(r["span"], np.int32).astype(np.int64)) for r in marks.to_pylist()]
-        d, a, c = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3))
-        order = np.argsort(d, kind="stable")
-        d, a, c = d[order], a[order], c[order]
-        ids = texts["doc_id"].to_pylist()
-        out: dict[str, list] = {"doc_id": ids, "n_words": [], "n_removed": [], "kept_sha256": [], "kept": [], "spans": []}
-        for i, text in zip(ids, texts["text"].to_pylist()):
+    """Each cell's ranges, then its texts; one row for each text out."""
+
+    def rest(ids: list, texts: list, d: np.ndarray, a: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+        out: dict[str, list] = {x: [] for x in _OUT_SCHEMA.names}
+        for i, text in zip(ids, texts):
             words = (text or "").encode().split()
             gone = np.zeros(len(words) + 1, np.int64)
             if i is not None:
@@ -179,12 +235,25 @@ def _apply(window: int):
             stay = np.cumsum(gone[:-1]) == 0
             kept = b" ".join(words) if stay.all() else b" ".join([words[j] for j in np.flatnonzero(stay)])
             edges = np.flatnonzero(np.diff(np.concatenate([[True], stay, [True]])))
-            out["n_words"].append(len(words))
-            out["n_removed"].append(int(len(words) - stay.sum()))
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(kept.decode())
-            out["spans"].append([int(x) for x in edges])
-        return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string()), ("spans", pa.list_(pa.int64()))]))
+            for x, v in zip(out, (i, len(words), int(len(words) - stay.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), [int(x) for x in edges])):
+                out[x].append(v)
+        return pa.RecordBatch.from_pydict(out, _OUT_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, found = None, []
+        d = a = c = np.zeros(0, np.int64)
+        for (cell, kind), table, _ in S.runs(batches, ("cell", "kind"), _CHUNK):
+            if cell != at:
+                at, found = cell, []
+                d = a = c = np.zeros(0, np.int64)
+            if kind == MARK:
+                found += [(np.cumsum(unpack(r["doc"], np.int64)), unpack(r["start"], np.int32).astype(np.int64), unpack(r["span"], np.int32).astype(np.int64)) for r in table.to_pylist()]
+                continue
+            if found:
+                d, a, c = (np.concatenate([f[i] for f in found]) for i in range(3))
+                order = np.argsort(d, kind="stable")
+                d, a, c, found = d[order], a[order], c[order], []
+            yield rest(table["doc_id"].to_pylist(), table["text"].to_pylist(), d, a, c)
 
     return run
 
@@ -207,8 +276,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         raise ValueError("anchor must be between 1 and window")
     S.small_batches(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = S.slices(docs)
-    found = S.by_parts(texts.mapInArrow(S.tidy(_seeds(window, anchor, n)), _BLOBS), n, "part").mapInArrow(S.tidy(_extend(n)), _BLOBS)
-    marks = found.select("part", "doc", "start", "span")
-    homes = texts.withColumn("part", F.coalesce(home_of("doc_id", n), F.pmod(F.xxhash64("text"), F.lit(n)).cast("int")))
-    return homes.groupBy("part").cogroup(marks.groupBy("part")).applyInArrow(_apply(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<long>")
+    n = S.slices(docs, 8)
+    seeds = S.by_cells(texts.mapInArrow(S.tidy(_seeds(window, anchor, n, HOT)), _BLOBS), n, "kind")
+    again = S.by_cells(seeds.mapInArrow(S.tidy(_extend(n, PIECE)), _BLOBS), n, "kind")
+    marks = again.mapInArrow(S.tidy(_settle(n)), _BLOBS).select("cell", "kind", "doc", "start", "span", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    nothing = F.lit(None).cast("binary")
+    own = texts.select(home_of("doc_id", n).alias("cell"), F.lit(MARK + 1).alias("kind"), nothing.alias("doc"), nothing.alias("start"), nothing.alias("span"), "doc_id", "text")
+    return S.by_cells(marks.unionByName(own), n, "kind").mapInArrow(S.tidy(_apply(window)), _OUT)
