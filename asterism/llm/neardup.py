@@ -11,10 +11,13 @@ every link (but for a chance below 2e-6 for each pair at the threshold itself),
 their members' full shingle sets are fetched once and compared exactly.
 
 Scale: documents with equal sets are one class from the start, so copies cost
-one row each and no pairs.  Long lists and large components are dealt in blocks
-and every pair of blocks is a task of bounded size; only forests leave a task,
-never pairs.  The work within a group of near copies that differ from each other
-grows with the square of its number of different texts, spread over tasks.
+one row each and no pairs.  Long lists and large components are dealt in blocks of
+bounded size and linked in two rounds: first within blocks, members of components in
+two blocks each, so that what is linked grows together; then
+across blocks, where only members that are still apart are compared, and blocks of one
+linked part never with each other.  A group of near copies of which nearly all are linked thus costs work in
+proportion to its size; only parts that are not linked meet each other's members one by one.
+Only forests leave a task, never pairs.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from ._text import Words, mix64, seeds
 
 COORDINATES, POSTED, MISS = 64, 24, 1e-6
 LIST_BLOCK, SET_BLOCK, SET_TOTAL = 1024, 512, 400_000
+#: The weight of a full block.
+UNIT = 1_000_000
 _CHUNK = 1 << 20
 _ODD = seeds(4 * COORDINATES, 11).astype(np.uint32) | np.uint32(1)
 
@@ -100,8 +105,12 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Forest:
     """Labels of n nodes under pairs that come in arrays; keeps the pairs that joined something."""
 
-    def __init__(self, n: int):
+    def __init__(self, n: int, parts: np.ndarray | None = None):
+        """parts: nodes of one part count as joined."""
         self.label = np.arange(n)
+        if parts is not None:
+            _, first, part = np.unique(parts, return_index=True, return_inverse=True)
+            self.label = first[part]
         self.a: list[int] = []
         self.b: list[int] = []
 
@@ -168,8 +177,8 @@ def _collide(least: int, percent: int):
         for t, group in _whole_groups(batches, ["key", "lo", "hi"], 8192):
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
             size = t["n"].to_numpy()
-            reps, node = np.unique(t["rep"].to_numpy(), return_inverse=True)
-            forest = _Forest(len(reps))
+            reps, first, node = np.unique(t["rep"].to_numpy(), return_index=True, return_inverse=True)
+            forest = _Forest(len(reps), t["label"].to_numpy()[first])
             live = np.arange(len(group))
             off = 1
             while True:
@@ -190,10 +199,19 @@ def _collide(least: int, percent: int):
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, seen = None, set()
         for table in S.gathered(batches, _CHUNK):
             g, bounds = shingles(Words(table["text"]), k)
             sets = [np.unique(g[a:b]).tobytes() for a, b in zip(bounds, bounds[1:])]
-            yield pa.Table.from_arrays([table["doc_id"], table["component"], table["blocks"], pa.array(sets, pa.binary())], ["rep", "component", "blocks", "shingles"]).combine_chunks().to_batches()[0]
+            fresh = []  # rows come by doc_id: what repeats one in full is left out
+            for i, x in zip(table["doc_id"].to_pylist(), sets):
+                if i != last:
+                    last, seen = i, set()
+                fresh.append((x := hashlib.blake2b(x, digest_size=16).digest()) not in seen)
+                seen.add(x)
+            if not all(fresh):
+                table, sets = table.filter(pa.array(fresh)), [x for x, f in zip(sets, fresh) if f]
+            yield from pa.Table.from_arrays([table["doc_id"], table["component"], table["blocks"], pa.array(sets, pa.binary())], ["rep", "component", "blocks", "shingles"]).to_batches()
 
     return run
 
@@ -232,8 +250,8 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, group in _whole_groups(batches, ["component", "lo", "hi"], 64):
-            reps_all = t["rep"].to_numpy()
+        for t, group in _whole_groups(batches, ["near", "lo", "hi"], 64):
+            reps_all, labels = t["rep"].to_numpy(), t["label"].to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])).tolist()
             raw = t["shingles"].to_pylist()
             for a, b in zip(cuts, cuts[1:]):
@@ -243,19 +261,64 @@ def _confirm(percent: int):
                 n = np.array([len(s) for s in sets])
                 both = intersections(sets)
                 i, j = np.nonzero(np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1))
-                forest = _Forest(b - a)
+                forest = _Forest(b - a, labels[a:b])
                 forest.add(i, j)
                 yield _edges(reps_all[a:b], forest)
 
     return run
 
 
-def _block_pairs(df: DataFrame, n: int, *keys: str) -> DataFrame:
-    """Deals the rows of each key to all pairs (lo, hi) of its ``blocks`` blocks; one block: to (0, 0)."""
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
-    out = df.withColumn("own", own).withColumn("other", other).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("own", "other", "blocks")
-    return out.repartition(n, *keys, "lo", "hi").sortWithinPartitions(*keys, "lo", "hi")
+def _within(rows: DataFrame, n: int, group: str, deals: int) -> DataFrame:
+    """rows (group, rep, label, blocks, ...) dealt to one of each group's blocks by a hash of rep; where there are several blocks, so many times."""
+    salt = F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.lit(deals - 1))).otherwise(F.array(F.lit(0))))
+    own = F.col("salt") * F.col("blocks") + F.pmod(F.xxhash64("salt", "rep", group), F.col("blocks"))
+    return rows.withColumn("salt", salt).withColumn("lo", own).withColumn("hi", F.col("lo")).drop("blocks", "salt").repartition(n, group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+
+def _across(rows: DataFrame, n: int, group: str) -> DataFrame:
+    """rows (group, rep, label, weight, ...) dealt to those pairs (lo, hi) of blocks in which members with different labels meet.
+
+    weight: a member's share of a block, in millionths.  A block has one label, or several small ones (a pool).  Two
+    blocks of one label are no pair; all pairs of members with different labels are in some pair of blocks.
+    Groups of one label are left out.
+    """
+    counts = rows.groupBy(group, "label").agg(F.sum("weight").alias("c"))
+    few = F.col("c") < UNIT // 2
+    several = counts.groupBy(group).agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("top"), F.sum(F.when(few, F.col("c"))).alias("small")).where("labels > 1")
+    several = several.select(group, "top", F.ceil(F.coalesce("small", F.lit(0)) / UNIT).alias("pools"))
+    named = counts.join(several, group).select(group, "label", few.alias("few"), F.when(few, F.col("pools")).otherwise(F.ceil(F.col("c") / UNIT)).alias("of"), (F.col("label") == F.col("top")).alias("top"))
+
+    def numbers(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)).alias("k")
+
+    single = named.where("not few").select(group, F.col("label").alias("of_label"), "top", numbers("of"))
+    pools = several.where("pools > 0").select(group, F.lit(None).cast("bigint").alias("of_label"), F.lit(False).alias("top"), numbers("pools"))
+    blocks = single.union(pools).withColumn("block", _block("of_label", F.col("k")))
+    a = blocks.where("not top").select(group, F.col("block").alias("a"), F.col("of_label").alias("al"))
+    b = blocks.select(group, F.col("block").alias("b"), F.col("of_label").alias("bl"), "top")
+    pairs = a.join(b, group).where("(top or a < b or (a = b and al is null)) and (al is null or bl is null or al != bl)")
+    pairs = pairs.select(group, F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    sides = pairs.select(group, F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block"), "lo", "hi")
+    number = F.pmod(F.when(F.col("few"), F.xxhash64("label")).otherwise(F.xxhash64(F.lit(3), "rep")), F.col("of"))
+    mine = rows.join(named.drop("top"), [group, "label"]).withColumn("block", _block(F.when(~F.col("few"), F.col("label")), number)).drop("few", "of")
+    return mine.join(sides, [group, "block"]).drop("block").repartition(n, group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+
+
+def _block(label, number: F.Column) -> F.Column:
+    """A block's name; one without a label is a pool."""
+    label = F.col(label) if isinstance(label, str) else label
+    return F.xxhash64(label.isNull(), label, number)
+
+
+def _labelled(rows: DataFrame, links: DataFrame | None) -> DataFrame:
+    """rows with the part that links have put each rep in so far as its label."""
+    if links is None:
+        return rows.withColumn("label", F.col("rep"))
+    return rows.join(links.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+
+
+def _stars(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -272,7 +335,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     with it.  An empty table gives an empty result; other columns are not read.
     """
     S.small_batches(docs)
-    n = S.slices(docs)
+    n = S.partitions(S.slices(docs))
     posted, matched = least_matches(POSTED, percent / 100), least_matches(COORDINATES, percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, _ = S.written(texts.mapInArrow(S.tidy(_signatures(words)), "doc_id long, n long, digest binary, sig binary"), "signatures")
@@ -283,20 +346,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     shared = posts.groupBy("key").agg(F.count("*").alias("held")).where("held >= 2")
     tokens = posts.join(shared, "key").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("held", "key"))).alias("t")).where(F.size("t") >= posted)
     prefix = tokens.select("rep", F.explode(F.slice("t", F.lit(1), F.size("t") - (posted - 1))).alias("p"))
-    lists = prefix.join(classes.select("rep", "n", "sig"), "rep").select("p.key", "rep", "n", "sig", F.ceil(F.col("p.held") / LIST_BLOCK).alias("blocks"))
-    near = _block_pairs(lists, n, "key").mapInArrow(S.tidy(_collide(matched, percent)), "a long, b long")
+    prefix, _ = S.written(prefix.select("p.key", "rep", F.ceil(F.col("p.held") / LIST_BLOCK).alias("blocks")), "prefix")
+    sigs = classes.select("rep", "n", "sig")
+    collide = S.tidy(_collide(matched, percent))
+    near = _within(_labelled(prefix.join(sigs, "rep"), None), n, "key", 1).mapInArrow(collide, "a long, b long")
+    long = prefix.where("blocks > 1").select("key", "rep")
+    if not long.isEmpty():
+        parts = S.components(near, 2)
+        weighed = _labelled(long.join(sigs, "rep"), parts).withColumn("weight", F.lit(UNIT // LIST_BLOCK))
+        near = _stars(parts).union(_across(weighed, n, "key").mapInArrow(collide, "a long, b long"))
 
     groups = S.components(near)
-    sizes = groups.join(classes.select(F.col("rep").alias("node"), "n"), "node")
-    sizes, _ = S.written(sizes, "groups")
+    sizes, _ = S.written(groups.join(classes.select(F.col("rep").alias("node"), "n"), "node"), "groups")
     blocks = sizes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n") / SET_TOTAL)).alias("blocks"))
     members = sizes.join(blocks, "component").select(F.col("node").alias("doc_id"), "component", "blocks")
     # always by merge: the number of members grows with the documents
-    sets = texts.join(members.hint("merge"), "doc_id").mapInArrow(S.tidy(_sets(words)), "rep long, component long, blocks long, shingles binary")
-    links = _block_pairs(sets, n, "component").mapInArrow(S.tidy(_confirm(percent)), "a long, b long")
+    sets, _ = S.written(texts.join(members.hint("merge"), "doc_id").mapInArrow(S.tidy(_sets(words)), "rep long, component long, blocks long, shingles binary"), "sets")
+    sets = sets.withColumnRenamed("component", "near")
+    confirm = S.tidy(_confirm(percent))
+    links = _within(_labelled(sets, None), n, "near", 2).mapInArrow(confirm, "a long, b long")
+    large = sets.where("blocks > 1").drop("blocks")
+    if not large.isEmpty():
+        parts = S.components(links, 2)
+        weight = F.greatest(F.lit(UNIT // SET_BLOCK), F.octet_length("shingles") * (UNIT // 8) / SET_TOTAL).cast("bigint")
+        links = _stars(parts).union(_across(_labelled(large, parts).withColumn("weight", weight), n, "near").mapInArrow(confirm, "a long, b long"))
 
     linked = S.components(links)
     copies = classes.where("copies > 1").select("digest", "rep")
-    out = rows.select("doc_id", "n", "digest").join(copies, "digest", "left").withColumn("node", F.coalesce("rep", "doc_id")).join(linked, "node", "left")
+    # an empty set has no copies and meets nothing: it goes by its own id
+    key = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    out = rows.select("doc_id", "n", key.alias("digest")).join(copies, "digest", "left").withColumn("node", F.coalesce("rep", "doc_id")).join(linked, "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

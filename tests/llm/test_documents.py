@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from asterism.llm import _spark as S
-from asterism.llm._text import Words, pack, sliding_min, unpack
+from asterism.llm._text import Words, hash_of_long, pack, sliding_min, unpack
 from asterism.llm.decontam import drop_contaminated, find_contamination
 from asterism.llm.fingerprints import fingerprints, signatures
 from asterism.llm.lines import chunks, dedup_lines
@@ -60,6 +60,49 @@ def test_components(spark):
     got = {r.node: r.component for r in S.components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert got == {x: find(x) for e in edges for x in e if e[0] != e[1]}
     assert S.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+    partly = S.components(spark.createDataFrame(edges, "a long, b long"), 1).collect()
+    assert len({r.node for r in partly}) == len(partly) == len(got) and all(find(r.node) == find(r.component) for r in partly)
+
+
+def _near_copies(n, most, words=60, seed=3):
+    rng = np.random.default_rng(seed)
+    hub = [f"w{x}" for x in rng.integers(0, 5000, words)]
+    rows = []
+    for i in range(n):
+        w = list(hub)
+        for _ in range(rng.integers(0, most + 1)):
+            w[rng.integers(words)] = f"w{rng.integers(5000)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Several blocks of members, of which some are linked with none or few others."""
+    from asterism.llm import neardup
+
+    monkeypatch.setattr(neardup, "LIST_BLOCK", 60)
+    monkeypatch.setattr(neardup, "SET_BLOCK", 40)
+    rows = _near_copies(500, 3)
+    rows += [(1000 + i, t) for i, t in _near_copies(80, 1, 30, 9)] + [(2000, rows[7][1]), (2001, ""), (2002, None)]
+    got = {tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4).collect()}
+    assert got == brute.near(rows, 4) and len({r[2] for r in got}) > 20
+
+
+def test_across_pairs_all_labels_and_no_label_with_itself(spark):
+    from asterism.llm import neardup
+
+    rng = np.random.default_rng(4)
+    labels = [0] * 400 + [1] * 150 + [2] * 8 + list(range(10, 60))
+    rows = [(7, i, int(x), neardup.UNIT // 50) for i, x in enumerate(labels)] + [(8, 1000 + i, 5, neardup.UNIT // 50) for i in range(120)]
+    rng.shuffle(rows)
+    dealt = neardup._across(spark.createDataFrame([tuple(map(int, r)) for r in rows], "key long, rep long, label long, weight long"), 4, "key").collect()
+    held = {}
+    for r in dealt:
+        held.setdefault((r.key, r.lo, r.hi), []).append(r.rep)
+    assert {k[0] for k in held} == {7} and all(len(v) == len(set(v)) <= 150 for v in held.values())
+    met = {(a, b) for v in held.values() for a in v for b in v if a < b}
+    assert {(a, b) for a in range(len(labels)) for b in range(a + 1, len(labels)) if labels[a] != labels[b]} <= met
+    assert not any({labels[x] for x in v} == {0} for v in held.values())
 
 
 def test_intersections():
@@ -93,6 +136,72 @@ def test_substrings_other_lengths(docs, corpus, window, anchor):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted(brute.substrings(corpus, window), key=key)
 
 
+def test_hash_of_long_is_sparks(spark):
+    ids = [0, 1, -1, 7, 2**62, -(2**63), 2**63 - 1, 123456789]
+    rows = spark.createDataFrame([(i,) for i in ids], "i long").select("i", F.xxhash64("i").alias("h")).collect()
+    assert hash_of_long(np.array([r.i for r in rows])).tolist() == [r.h for r in rows]
+
+
+def _phrase(n, phrase, seed=5):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 40)]
+        rows.append((i * 51, " ".join([*w[:20], *phrase.split(), *w[20:]])))
+    return rows
+
+
+def test_substrings_deal_a_hot_phrase_evenly(spark):
+    """One phrase in every document, ids in steps of the number of cells: no cell has twice the mean, before nor after the second dealing."""
+    from asterism.llm import substrings as M
+
+    cells = 51
+    rows = _phrase(6000, "for more information see")
+    texts = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    S.small_batches(texts)
+    seeds = texts.mapInArrow(M._seeds(13, 4, cells, M.HOT), M._BLOBS)
+    again = S.by_cells(seeds, cells, "kind").mapInArrow(M._extend(cells, M.PIECE), M._BLOBS)
+    for dealt in (seeds, again):
+        windows = dealt.where(f"kind in ({M.HEAVY}, {M.LIGHT})").groupBy("cell").agg((F.sum(F.octet_length("hash")) / 6).alias("n")).collect()
+        total = sum(r.n for r in windows)
+        assert max(r.n for r in windows) < 2 * total / cells
+    assert total > 30_000  # the phrase's windows, dealt again
+    assert sum(1 for r in dedup_substrings(texts).collect() if r.n_removed) == 0
+    homes = texts.select(M.home_of("doc_id", cells).alias("cell")).groupBy("cell").count().collect()
+    assert max(r["count"] for r in homes) < 2 * len(rows) / cells
+
+
+@pytest.mark.parametrize("hot, piece", [(0, 16 << 20), (3, 1), (10**9, 1), (10**9, 2000)])
+def test_substrings_hot_anchors_and_large_cells(spark, docs, corpus, monkeypatch, hot, piece):
+    """Every anchor hot, every cell too large, and both: the same result."""
+    from asterism.llm import substrings as M
+
+    monkeypatch.setattr(M, "HOT", hot)
+    monkeypatch.setattr(M, "PIECE", piece)
+    got = dedup_substrings(docs).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=key) == sorted(brute.substrings(corpus), key=key)
+    rows = _phrase(300, "for more information see the one and only page on the site that has it", 6)
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute.substrings(rows))
+
+
+def test_cells_of_any_number(spark):
+    """More cells than partitions: every partition gets a run of cells, sorted; sizes of sources add up."""
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).cast("int").alias("cell"))
+    from unittest import mock
+
+    with mock.patch.object(S, "MOST_PARTITIONS", 8):
+        parts = S.by_cells(df, 5000).rdd.mapPartitions(lambda rows: [[r.cell for r in rows]]).collect()
+    assert [x for p in parts for x in p] == list(range(5000)) and {len(p) for p in parts} == {625}
+    one = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert S.stored_bytes(one.join(one.select("doc_id"), "doc_id")) == 2 * S.stored_bytes(one) > 0
+    assert S.stored_bytes(spark.createDataFrame([("x" * 1000,)] * 50, "t string").repartition(2)) == 25_000
+    batches = pa.table({"k": [1, 1, 1, 2, 2, 3], "v": list("abcdef")}).to_batches(max_chunksize=2)
+    assert [(k, t["v"].to_pylist(), whole) for k, t, whole in S.runs(iter(batches), ("k",), 1 << 20)] == [((1,), ["a", "b", "c"], True), ((2,), ["d", "e"], True), ((3,), ["f"], True)]
+    small = [(k, t.num_rows, whole) for k, t, whole in S.runs(iter(batches), ("k",), 1)]
+    assert sum(n for _, n, _ in small) == 6 and [x for x in small if x[2]] == [((3,), 1, True)]
+
+
 # --- 9 ---
 
 
