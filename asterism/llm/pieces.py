@@ -6,10 +6,11 @@ the metaspace marker), then a unigram model from the scores or, for BPE models,
 merges ranked by score, with byte fallback, and the decoder that undoes it all.
 
 Where no piece of the vocabulary reaches over a word's start, a text's tokens are
-its words' tokens.  A batch then encodes each distinct word once, in one
-multithreaded call, and puts texts together from those; every such word is also
-encoded by the SentencePiece library, and where the two differ its answer counts
-(``parity`` tells).  Models with pieces across words are encoded text by text.
+its words' tokens.  A batch then encodes and decodes each distinct word once, in
+multithreaded calls, and puts texts together from those.  Models with pieces across
+words are encoded and decoded text by text.  Ids and decoded texts are always the
+rebuilt pipeline's; everything is encoded by the SentencePiece library as well, and ``parity`` tells of
+each text whether the two agree.
 
 Scale: one narrow pass, no shuffle; the model file (read on the driver, bounded
 by ``MAX_MODEL_BYTES``) is broadcast.
@@ -162,46 +163,41 @@ class Codec:
         if spec.add_dummy_prefix:
             undo.append(decoders.Strip(" ", 1, 0))
         self.tokenizer.decoder = decoders.Sequence(undo)
-        self.bytes_of = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in spec.pieces]
         marked = [p for p, _, kind in spec.pieces if kind in (NORMAL, USER_DEFINED)]
         #: No piece has a marker after something else, and the normaliser is the identity but for the marker: words are apart.
         self.by_word = spec.escape_whitespaces and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.charsmap and not any(MARK in p.lstrip(MARK) for p in marked) and not any(kind == USER_DEFINED for *_, kind in spec.pieces)
         if self.by_word:
             self.tokenizer.normalizer = None  # words come with their spaces, already marked
-        self.known: dict[str, bytes] = {}
-        self.parity = True
+        #: Ids and decoded text of each word, and the words on which the libraries differ.
+        self.known: dict[str, tuple[bytes, str]] = {}
+        self.differ: set[str] = set()
 
     def _learn(self, words: list[str]) -> None:
         """Adds words (each with its leading markers) to the known ones."""
-        ours = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        ours = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         # the peer puts the first marker itself, but not before nothing
         theirs = self.peer.encode([w[1:].replace(MARK, " ") for w in words], num_threads=THREADS)
-        for w, a, b in zip(words, ours, theirs):
-            a = a.ids
+        for w, a, b, text in zip(words, ours, theirs, self.tokenizer.decode_batch(ours, skip_special_tokens=False)):
+            self.known[w] = array("i", a).tobytes(), f" {text}"  # the decoder took a word's first space as the text's
             if a != b and w != MARK:
-                self.parity, a = False, b
-            self.known[w] = array("i", a).tobytes()
+                self.differ.add(w)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as the model's own library gives them; the empty text has none."""
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[bool]]:
+        """Of each text the ids, what they decode to, and whether the SentencePiece library gives these ids; the empty text has none."""
         if not self.by_word:
-            ours = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+            ours = [x.ids for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             theirs = self.peer.encode(texts, num_threads=THREADS)
-            self.parity &= all(a.ids == b for a, b in zip(ours, theirs))
-            return [np.array(b, np.int32) for b in theirs]
+            return [np.array(a, np.int32) for a in ours], self.tokenizer.decode_batch(ours, skip_special_tokens=False), [a == b for a, b in zip(ours, theirs)]
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
+            self.differ.clear()
         if new := {w for words in split for w in words} - self.known.keys():
             self._learn(list(new))
         known = self.known
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
-
-    def restore(self, ids: np.ndarray) -> str:
-        """What decode() gives for ids that encode() made, from the pieces' bytes; a batch of whole texts takes a tenth of its time."""
-        table = self.bytes_of
-        text = b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
-        return text[1:] if self.spec.add_dummy_prefix and text.startswith(" ") else text
+        made = [[known[w] for w in words] for words in split]
+        ids = [np.frombuffer(b"".join([x for x, _ in m]), np.int32) for m in made]
+        return ids, ["".join([x for _, x in m])[1:] for m in made], [self.differ.isdisjoint(words) for words in split]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -232,8 +228,8 @@ def encode_documents(docs: DataFrame, model: str = MODEL, ids: bool = True) -> D
     ids: the whole text's tokens; ids_sha256: of their little-endian int32
     bytes.  round_trip: decoding gives the text again (not where the text holds
     the metaspace marker itself, which the model reads as a space).  parity:
-    the rebuilt tokenizer agreed with the SentencePiece library on everything
-    in the row's batch; the ids are the library's in any case.
+    the SentencePiece library gives the same ids for this text; where it does
+    not, the ids are the rebuilt tokenizer's all the same.
 
     Null and empty texts have no tokens and come back as empty.  Repeated rows
     get equal results; null ids stay null.  An empty table gives an empty
@@ -250,12 +246,10 @@ def encode_documents(docs: DataFrame, model: str = MODEL, ids: bool = True) -> D
         c = codec(sent.value)
         for table in S.gathered(batches, _CHUNK):
             own = [t or "" for t in table["text"].to_pylist()]
-            c.parity = True
-            made = c.encode(own)
-            back = [c.restore(x) for x in made]
+            made, back, parity = c.encode(own)
             cols = [
                 table["doc_id"].combine_chunks(), pa.array([len(x) for x in made], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in made], pa.string()),
-                pa.array([a == b for a, b in zip(own, back)], pa.bool_()), pa.array([c.parity] * len(own), pa.bool_()),
+                pa.array([a == b for a, b in zip(own, back)], pa.bool_()), pa.array(parity, pa.bool_()),
             ]
             if ids:
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32)
@@ -267,7 +261,11 @@ def encode_documents(docs: DataFrame, model: str = MODEL, ids: bool = True) -> D
 
 
 def decode_ids(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids decode to the empty text."""
+    """(doc_id, text) from (doc_id, ids); null and empty ids decode to the empty text.
+
+    Rows may repeat and are decoded each; a null doc_id stays null.  Ids beyond
+    the vocabulary decode to nothing.  An empty table gives an empty result; other columns are not read.
+    """
     S.small_batches(encoded)
     with open(model, "rb") as f:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
