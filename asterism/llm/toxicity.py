@@ -1,16 +1,19 @@
 """Operator 10: toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are whole words and word beginnings (four to seven letters) that
-labelled examples show to be far likelier in toxic texts, and how many words of a text have such terms; term frequency is
+Terms are all whole words and word beginnings (four to seven letters) that
+labelled examples show to be far likelier in toxic texts, and how many words of a text have such terms, counted in doublings.  Term frequency is
 damped, inverse document frequency is counted over all documents.  The labelled
 examples' vectors form an inverted index in blocks, each with the largest weight
 of each term (block-max): a query visits blocks by their upper bound and stops
 where the bound falls below its k-th best cosine, so neighbours are exact.
-Votes are weighted by closeness and shrunk towards the rate among examples that,
+Every example votes, weighted by closeness, and votes are shrunk towards the rate among examples that,
 like most documents, have none of the terms.
 
+The cosine covers marker terms only, not all words: the README has the figures of the whole
+vocabulary, which misses three times as many toxic texts and takes thirty times as long.
+
 Scale: the model (terms, example vectors) comes from at most ``MAX_EXAMPLES``
-labelled rows and so has a fixed bound; everything else is one pass over the
+labelled ids, one text for each, and so has a fixed bound; everything else is one pass over the
 texts without a shuffle, and a second one over the few terms found.
 """
 
@@ -30,11 +33,10 @@ from .neardup import shingles
 from ._text import Words
 
 MAX_EXAMPLES = 16_000
-MAX_TERMS = 1024
 FOLDS = 5
 NEIGHBOURS, BLOCK, PRIOR_WEIGHT, EVIDENCE = 15, 32, 0.25, 3
-#: A text with n words that hold terms has the n-th of these further terms.
-MOST_WORDS, WORDS_WEIGHT = 4, 2.0
+#: A text with n words that hold terms has one further term, for 1, 2 to 3, 4 to 7 such words, and so on, and its weight.
+DOUBLINGS, WORDS_WEIGHT = 40, 2.0
 LEAST_DOCS, LEAST_LIFT, LEAST_Z = 4, 4.0, 4.0
 BEGINNINGS = (4, 5, 6, 7)
 _CHUNK = 2 << 20
@@ -50,8 +52,7 @@ def plain(text: str | None) -> str:
 def terms_of(text: str | None) -> set[str]:
     out: set[str] = set()
     for word in set(plain(text).split()):
-        if len(word) <= 20:
-            out.add(f" {word} ")
+        out.add(f" {word} ")
         out.update(f" {word[:n]}" for n in BEGINNINGS if len(word) >= n)
     return out
 
@@ -125,7 +126,7 @@ class Model:
         if not v:
             return self.prior, []
         ids, cosine = self.nearest(v, k)
-        vote = cosine**2 * np.minimum(self.count[ids], 8)
+        vote = cosine**2 * self.count[ids]
         share = self.toxic[ids] / self.count[ids]
         return float(((vote * share).sum() + PRIOR_WEIGHT * self.prior) / (vote.sum() + PRIOR_WEIGHT)), [self.docs[i] for i in ids[:EVIDENCE].tolist()]
 
@@ -178,8 +179,8 @@ def _find(terms: list[str]):
                     for end, (i, size) in find.iter(plain(text)):
                         got[i] += 1
                         words.add(end - size)
-                    if words:  # how many words have terms is a term of its own
-                        got[len(terms) + min(len(words), MOST_WORDS) - 1] = 1
+                    if words:
+                        got[len(terms) + len(words).bit_length() - 1] = 1
                 ids.append(sorted(got))
                 counts.append([got[i] for i in ids[-1]])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
@@ -192,7 +193,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     sample = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    examples, _ = S.written(texts.join(F.broadcast(sample), "doc_id").mapInArrow(S.tidy(_sketch), "doc_id long, toxic int, text string, sketch long"), "examples")
+    # the sample has at most max_examples ids; of an id's rows each task sends one text, the one of least hash
+    labelled = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+    examples, _ = S.written(labelled.select("doc_id", "toxic", "t.text").mapInArrow(S.tidy(_sketch), "doc_id long, toxic int, text string, sketch long"), "examples")
     single = examples.groupBy("sketch", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     apart = examples.join(F.broadcast(single), "doc_id", "left_semi")
     n = {r.toxic: r.n for r in apart.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -202,15 +205,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
     stats = apart.mapInArrow(S.tidy(_count), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     chosen = stats.where(F.col("toxic") >= LEAST_DOCS).withColumn("z", z).where((F.col("z") >= LEAST_Z / 2) & (p >= LEAST_LIFT * q))
     # few documents speak for a term only if they are almost all toxic
-    chosen = chosen.where((F.col("z") >= LEAST_Z) | (F.col("toxic") >= 20 * F.col("clean") + 6)).orderBy(F.desc("z"), "term").limit(MAX_TERMS)
+    chosen = chosen.where((F.col("z") >= LEAST_Z) | (F.col("toxic") >= 20 * F.col("clean") + 6))
     terms = sorted(r.term for r in chosen.select("term").collect())
     found, _ = S.written(texts.mapInArrow(S.tidy(_find(terms)), "doc_id long, terms array<int>, counts array<int>"), "terms")
     df = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     total = found.count()
-    idf = np.array([log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms) + MOST_WORDS)])
+    idf = np.array([log((1 + total) / (1 + df.get(i, 0))) + 1 for i in range(len(terms) + DOUBLINGS)])
     idf[len(terms) :] *= WORDS_WEIGHT
-    vectors = found.join(F.broadcast(examples.select("doc_id", "toxic")), "doc_id").collect()
-    return Model(terms, idf, sorted((r.doc_id, r.toxic, dict(zip(r.terms, r.counts))) for r in vectors)), found
+    toxic = {r.doc_id: r.toxic for r in examples.select("doc_id", "toxic").collect()}
+    vectors = examples.select("doc_id", "text").mapInArrow(S.tidy(_find(terms)), "doc_id long, terms array<int>, counts array<int>").collect()
+    return Model(terms, idf, sorted((r.doc_id, toxic[r.doc_id], dict(zip(r.terms, r.counts))) for r in vectors)), found
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
@@ -246,7 +250,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_E
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> DataFrame:
-    """The rows of docs that score below 0.5, with all their columns; texts are scored where they stand, without a shuffle."""
+    """The rows of docs that score below 0.5, with all their columns; texts are scored where they stand, without a shuffle.
+
+    Scores are those of score_toxicity(): null and empty texts score the rate among examples without terms and so
+    stay where most of these are clean, a null doc_id changes nothing, repeated rows stay or go
+    together, and an empty table stays empty.  Columns of any name pass through.
+    """
     S.small_batches(docs)
     model, _ = fit(docs, labels, max_examples)
     sent = docs.sparkSession.sparkContext.broadcast(model)
