@@ -139,3 +139,77 @@ def toxicity(docs, labels):
         total = sum(c * c * len(ys) for c, ys in close) + 0.25
         out[i] = (sum(c * c * sum(ys) for c, ys in close) + 0.25 * prior) / total
     return out
+
+
+def _tokens(text, units):
+    """(kind, word) of each word: "" for literals, else number, name or unit."""
+    out, opens, before, at = [], True, "", 0
+    raw = (text or "").encode()
+    for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+        if out:
+            opens = before[-1] in ".!?:" or b"\n" in raw[at : m.start()] or b"\r" in raw[at : m.start()]
+        before, at = m[0].decode(), m.end()
+        w = before
+        for _ in range(4):
+            if len(w) > 1 and w[-1] in ".,;:!?()[]{}\"'":
+                w = w[:-1]
+            if len(w) > 1 and w[0] in ".,;:!?()[]{}\"'":
+                w = w[1:]
+        kind = "name" if w[0] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" and not opens else ""
+        if out and out[-1][0] == "number" and w.lower() in units:
+            kind = "unit"
+        if w[0] in "0123456789" or (w[0] in "$+-#" and w[1:2] in "0 1 2 3 4 5 6 7 8 9".split()):
+            kind = "number"
+        out.append((kind, w.lower()))
+    return out
+
+
+def contamination(docs, items, units, window=8, literals=4, coverage=0.5):
+    """(doc_id, item_id, matched, windows, first word, exact) over all windows and alignments."""
+    out = []
+    read = [(i, _tokens(t, units)) for i, t in docs]
+    for item_id, text in items:
+        item = _tokens(text, units)
+        if not item:
+            continue
+        for doc_id, doc in read:
+            if len(item) < window:
+                words, n = [w for _, w in item], len(item)
+                spots = [s for s in range(len(doc) - n + 1) if [w for _, w in doc[s : s + n]] == words]
+                if spots and (n >= literals or len(doc) == n):
+                    out.append((doc_id, item_id, 1, 1, spots[0], True))
+                continue
+            best = None
+            for view in ({"number", "name", "unit"}, {"number", "unit"}, set()):
+
+                def keys(tokens):
+                    masked = [(k,) if k in view else w for k, w in tokens]
+                    cut = {s: tuple(masked[s : s + window]) for s in range(len(tokens) - window + 1)}
+                    return {s: x for s, x in cut.items() if sum(isinstance(w, str) for w in x) >= literals}
+
+                ours, theirs = keys(item), keys(doc)
+                held, first, same = set(), None, True
+                for shift in range(-len(item), len(doc)):
+                    match = [o for o, x in ours.items() if theirs.get(o + shift) == x]
+                    slots = sorted({p for o in match for p in range(o, o + window) if item[p][0] in view})
+                    wrong = set()
+                    for value in {item[p][1] for p in slots}:
+                        mine = [p for p in slots if item[p][1] == value]
+                        votes = Counter(doc[p + shift][1] for p in mine)
+                        most = max(votes.values())
+                        tops = [y for y, n in votes.items() if n == most]
+                        chosen = tops[0] if len(tops) == 1 else value if value in tops else None
+                        wrong |= {p for p in mine if doc[p + shift][1] != chosen}
+                    good = [o for o in match if not wrong & set(range(o, o + window))]
+                    if good:
+                        held |= set(good)
+                        first = shift if first is None else min(first, shift)
+                        same &= all(item[p][1] == doc[p + shift][1] for p in slots)
+                if held and len(held) >= coverage * len(ours):
+                    if best is None or len(held) * best[1] > best[0] * len(ours):
+                        best = (len(held), len(ours), max(0, first), same and (best is None or best[3]))
+                    else:
+                        best = (*best[:3], best[3] and same)
+            if best:
+                out.append((doc_id, item_id, *best))
+    return sorted(out)

@@ -326,6 +326,62 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert [r.doc_id for r in drop_contaminated(df, items(spark, ITEM, second)).collect()] == [1]
 
 
+def _exam(seed):
+    rng = np.random.default_rng(seed)
+    words = [f"{a}{b}" for a in ("mor", "tal", "ven", "sir", "pod") for b in ("a", "en", "us", "il")]
+    other = ["Anna", "Tom", "Berlin", "3", "5", "7", "120", "km", "kg", "hours", "$9", "-4"]
+
+    def text(n):
+        pick = [str(rng.choice(other if rng.random() < 0.3 else words)) for _ in range(n)]
+        return "".join(w + str(rng.choice([" ", " ", " ", ", ", ". ", ".\n", " ("])) for w in pick).strip()
+
+    def change(t):
+        w = t.split(" ")
+        for _ in range(rng.integers(0, 4)):
+            k = rng.integers(len(w))
+            w[k] = str(rng.choice(other if w[k][:1].isupper() or w[k][:1].isdigit() else words))
+        return " ".join(w)
+
+    items = [(i, text(int(rng.choice([1, 3, 4, 6, 8, 9, 12, 20, 40])))) for i in range(40)]
+    docs = []
+    for i in range(90):
+        parts = [text(int(rng.integers(0, 30)))]
+        for _ in range(rng.integers(0, 3)):
+            x = items[rng.integers(len(items))][1]
+            parts += [[x, change(x), x.upper(), change(x).lower(), " ".join(x.split(" ")[: 1 + len(x.split(" ")) * 2 // 3])][rng.integers(5)], text(int(rng.integers(0, 20)))]
+        docs.append((i, " ".join(parts) if i % 9 else items[i % 40][1]))
+    return docs, items
+
+
+@pytest.mark.parametrize("seed, block, coverage", [(1, 8 << 20, 0.5), (1, 10, 0.5), (2, 10, 0.75), (3, 8 << 20, 0.3)])
+def test_decontamination_against_all_windows_and_alignments(spark, monkeypatch, seed, block, coverage):
+    from asterism.llm import decontam
+
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", block)
+    rows, bench = _exam(seed)
+    expected = brute.contamination(rows, bench, decontam.UNITS, coverage=coverage)
+    docs = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, item_id long, same1 string").repartition(3)
+    got = find_contamination(docs, spark.createDataFrame(bench, "item_id long, text string"), coverage=coverage)
+    assert sorted(map(tuple, got.collect())) == expected and len(expected) > 30
+    left = drop_contaminated(docs, spark.createDataFrame(bench, "item_id long, text string"), coverage=coverage)
+    assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == {i for i, _ in rows} - {x[0] for x in expected}
+
+
+def test_decontamination_join_and_odd_rows(spark, monkeypatch):
+    """The joined benchmark: repeated rows on both sides, null ids, and more rows to drop than are sent around."""
+    from asterism.llm import decontam
+
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(decontam, "GONE_ROWS", 0)
+    rows = [(1, ITEM), (1, ITEM), (None, ITEM), (2, "clean"), (None, None), (None, "clean"), (3, ""), (4, "Too short?")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, ITEM), (5, ITEM), (5, "too short"), (6, None), (7, "")], "item_id int, text string")
+    got = sorted(((r.doc_id, r.item_id) for r in find_contamination(df, bench).collect()), key=key)
+    assert got == sorted([(1, None), (1, 5)] * 2 + [(None, None), (None, 5), (4, 5)], key=key)
+    assert sorted(map(tuple, drop_contaminated(df, bench).collect()), key=key) == sorted([(2, "clean"), (None, None), (None, "clean"), (3, "")], key=key)
+    assert drop_contaminated(df.limit(0), bench).isEmpty() and find_contamination(df.limit(0), bench).isEmpty()
+
+
 def test_decontamination_conflicting_slots(spark):
     words = [f"w{i}x" for i in range(60)]
     words[5] = words[25] = words[45] = "Tom"
