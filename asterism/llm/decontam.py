@@ -33,6 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _spark as S
 from ._text import Words, grams, mix64, seeds, string_buffers
@@ -294,7 +295,15 @@ def _hits(window: int, literals: int, kinds: list[int], bitmap):
     return run
 
 
-def _verify(window: int, literals: int, coverage: float):
+def _found(benchmark: DataFrame, *more: str) -> tuple[str, pa.Schema]:
+    """The columns of what is found, for Spark and for Arrow."""
+    kind = benchmark.schema["item_id"].dataType
+    numbers = ("matched_windows", "item_windows", "first_word")
+    ddl = f"doc_id long, item_id {kind.simpleString()}, " + ", ".join(f"{x} long" for x in numbers) + ", exact boolean" + "".join(f", {x} long" for x in more)
+    return ddl, pa.schema([("doc_id", pa.int64()), ("item_id", to_arrow_type(kind)), *[(x, pa.int64()) for x in numbers], ("exact", pa.bool_()), *[(x, pa.int64()) for x in more]])
+
+
+def _verify(window: int, literals: int, coverage: float, schema: pa.Schema):
     """Pairs (row, item, and both texts) in; those that are covered out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,7 +315,7 @@ def _verify(window: int, literals: int, coverage: float):
             found = {(rows[d], names[i]): x for d, i, *x in index.matches(pa.array(texts.values(), pa.string()))}
             out = [{"doc_id": d, "item_id": i, "matched_windows": x[0], "item_windows": x[1], "first_word": x[2], "exact": x[3], "row": r} for r, item, d, i in zip(*(columns[c] for c in ("row", "item", "doc_id", "item_id"))) if (x := found.get((r, item)))]
             if out:
-                yield pa.RecordBatch.from_pylist(out)
+                yield pa.RecordBatch.from_pylist(out, schema)
 
     return run
 
@@ -330,8 +339,8 @@ def _joined(texts: DataFrame, benchmark: DataFrame, window: int, literals: int,
     rows, _ = S.written(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "keys"), "rows")
     pairs = rows.select("row", F.explode("keys").alias("key")).join(posted, "key").select("row", "item").distinct()
     both = pairs.join(items.withColumnRenamed("text", "item_text"), "item").join(rows.drop("keys"), "row")
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    return both.mapInArrow(S.tidy(_verify(window, literals, coverage)), f"doc_id long, item_id {kind}, matched_windows long, item_windows long, first_word long, exact boolean, row long").join(rows.select("row", *_same(rows)), "row").drop("row")
+    ddl, schema = _found(benchmark, "row")
+    return both.mapInArrow(S.tidy(_verify(window, literals, coverage, schema)), ddl).join(rows.select("row", *_same(rows)), "row").drop("row")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
@@ -351,6 +360,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     if index is None:
         return _joined(texts, benchmark, window, literals, coverage).drop("same1", "same2")
     sent = docs.sparkSession.sparkContext.broadcast(index)
+    ddl, schema = _found(benchmark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value
@@ -359,10 +369,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             ids = table["doc_id"].to_pylist() if found else []
             rows = [{"doc_id": ids[d], "item_id": index.ids[i], "matched_windows": n, "item_windows": total, "first_word": first, "exact": same} for d, i, n, total, first, same in found]
             if rows:
-                yield pa.RecordBatch.from_pylist(rows)
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
-    kind = benchmark.schema["item_id"].dataType
-    return texts.mapInArrow(S.tidy(run), f"doc_id long, item_id {kind.simpleString()}, matched_windows long, item_windows long, first_word long, exact boolean")
+    return texts.mapInArrow(S.tidy(run), ddl)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, coverage: float = COVERAGE) -> DataFrame:
