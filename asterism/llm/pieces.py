@@ -168,8 +168,9 @@ class Codec:
         self.by_word = spec.escape_whitespaces and spec.add_dummy_prefix and not spec.remove_extra_whitespaces and not spec.charsmap and not any(MARK in p.lstrip(MARK) for p in marked) and not any(kind == USER_DEFINED for *_, kind in spec.pieces)
         if self.by_word:
             self.tokenizer.normalizer = None  # words come with their spaces, already marked
-        #: Ids and decoded text of each word, and the words on which the libraries differ.
-        self.known: dict[str, tuple[bytes, str]] = {}
+        #: Ids of each word; what words decode to that do not give themselves again; the words on which the libraries differ.
+        self.known: dict[str, bytes] = {}
+        self.changed: dict[str, str] = {}
         self.differ: set[str] = set()
 
     def _learn(self, words: list[str]) -> None:
@@ -177,10 +178,15 @@ class Codec:
         ours = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         # the peer puts the first marker itself, but not before nothing
         theirs = self.peer.encode([w[1:].replace(MARK, " ") for w in words], num_threads=THREADS)
-        for w, a, b, text in zip(words, ours, theirs, self.tokenizer.decode_batch(ours, skip_special_tokens=False)):
-            self.known[w] = array("i", a).tobytes(), f" {text}"  # the decoder took a word's first space as the text's
+        for w, a, b in zip(words, ours, theirs):
+            self.known[w] = array("i", a).tobytes()
             if a != b and w != MARK:
                 self.differ.add(w)
+        # all words are decoded as one text; only if that differs, one by one
+        if self.tokenizer.decode([i for x in ours for i in x], skip_special_tokens=False) != "".join(words).replace(MARK, " ")[1:]:
+            for w, text in zip(words, self.tokenizer.decode_batch(ours, skip_special_tokens=False)):
+                if f" {text}" != w.replace(MARK, " "):  # the decoder takes a first space as the text's
+                    self.changed[w] = f" {text}"
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], list[bool]]:
         """Of each text the ids, what they decode to, and whether the SentencePiece library gives these ids; the empty text has none."""
@@ -191,13 +197,17 @@ class Codec:
         split = [_WORD.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
+            self.changed.clear()
             self.differ.clear()
         if new := {w for words in split for w in words} - self.known.keys():
             self._learn(list(new))
-        known = self.known
-        made = [[known[w] for w in words] for words in split]
-        ids = [np.frombuffer(b"".join([x for x, _ in m]), np.int32) for m in made]
-        return ids, ["".join([x for _, x in m])[1:] for m in made], [self.differ.isdisjoint(words) for words in split]
+        known, changed = self.known, self.changed
+        ids = [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
+        if changed:
+            back = ["".join([changed.get(w) or w.replace(MARK, " ") for w in words])[1:] for words in split]
+        else:
+            back = [t.replace(MARK, " ") for t in texts]
+        return ids, back, [self.differ.isdisjoint(words) for words in split] if self.differ else [True] * len(texts)
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)

@@ -7,6 +7,7 @@ import textwrap
 
 import numpy as np
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 from asterism.llm import oracles, registry
@@ -59,6 +60,9 @@ def test_parity_is_kept_for_each_word(bpe):
     assert parity == [False, True, True] and back == ["hello there", "nothing else", ""]
     assert [x.tolist() for x in first[:2]] == [x.tolist() for x in ids]  # the rebuilt tokenizer's
     assert c.encode(["well hello", "there", "hello hello"])[2] == [False, True, False]  # known words keep it
+    c = Codec(bpe)
+    c.tokenizer.decoder = tokenizers.decoders.Sequence([tokenizers.decoders.Replace("h", "H"), c.tokenizer.decoder])
+    assert c.encode(["well hello", "there  you", ""])[1] == ["well Hello", "tHere  you", ""] == c.decode(c.encode(["well hello", "there  you", ""])[0])
     raw = _unigram(True)
     c = Codec(raw)
     c.peer = Contrary(c.peer, "string")
@@ -127,7 +131,7 @@ def test_encode_documents(spark, docs, corpus, empty):
     texts = {r.doc_id: r.text for r in decode_ids(encode_documents(docs)).where("doc_id is not null").collect()}
     assert texts == {i: t or "" for i, t in corpus if i is not None}
     assert encode_documents(empty).isEmpty()
-    assert decode_ids(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().text == ""
+    assert [r.text for r in decode_ids(spark.createDataFrame([(1, None), (1, []), (None, [10**6])], "doc_id long, ids array<int>")).collect()] == ["", "", ""]
 
 
 # --- 3 ---
