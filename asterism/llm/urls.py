@@ -12,8 +12,8 @@ what is blocked.
 
 Scale: the first level's error rate is set from the number of listed keys and
 the universe's size, so that the second level has about as many keys as the
-first; all levels together stay within a fixed multiple of the list, whose
-length is checked.  The universe is streamed, never stored: one pass for its
+first; all levels together stay within a fixed multiple of the list.  A list of more
+than ``MAX_KEYS`` keys is dealt by hash to several cascades, each over its part of the universe.  The universe is streamed, never stored: one pass for its
 size, one for the first level's errors.
 """
 
@@ -92,15 +92,45 @@ def _level(keys: DataFrame, level: int, bits: int) -> tuple[int, list[int]]:
     return bits, words
 
 
-def build_cascade(universe: DataFrame, listed: Sequence[str], most_levels: int = 40) -> Cascade:
-    """A cascade of the listed keys over a universe (key); keys may repeat there."""
-    spark = universe.sparkSession
+class Cascades:
+    """Cascades of the parts that keys are dealt to by hash."""
+
+    def __init__(self, parts: list[Cascade]):
+        self.parts = parts
+
+    def contains(self, key: Column) -> Column:
+        if len(self.parts) == 1:
+            return self.parts[0].contains(key)
+        out = F.lit(False)
+        for i, part in enumerate(self.parts):
+            out = F.when(_part(key, len(self.parts)) == i, part.contains(key)).otherwise(out)
+        return out
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(-1), key), F.lit(parts))
+
+
+def build_cascade(universe: DataFrame, listed: Sequence[str]) -> Cascades:
+    """Cascades of the listed keys over a universe (key).
+
+    Keys may repeat on both sides, and null ones in the universe are in no list.  An empty list contains
+    nothing; over an empty universe there is nothing to be wrong about.
+    """
     names = sorted(set(listed))
-    if len(names) > MAX_KEYS:
-        raise ValueError(f"more than {MAX_KEYS} listed keys: their filters are no longer of a size to send around")
+    parts = max(1, ceil(len(names) / MAX_KEYS))
+    if parts == 1:
+        return Cascades([_cascade(universe, names)])
+    held: list[list[str]] = [[] for _ in range(parts)]
+    for r in universe.sparkSession.createDataFrame([(k,) for k in names], "key string").select("key", _part(F.col("key"), parts).alias("part")).collect():
+        held[r.part].append(r.key)
+    return Cascades([_cascade(universe.where(_part(F.col("key"), parts) == i), x) for i, x in enumerate(held)])
+
+
+def _cascade(universe: DataFrame, names: list[str]) -> Cascade:
     if not names:
         return Cascade([])
-    keys = spark.createDataFrame([(k,) for k in names], "key string")
+    keys = universe.sparkSession.createDataFrame([(k,) for k in names], "key string")
     size = universe.agg(F.approx_count_distinct("key")).first()[0]
     rate = min(0.5, len(names) / max(1, size))
     levels = [_level(keys, 0, max(64, ceil(HASHES * len(names) / -log(1 - rate ** (1 / HASHES)))))]
@@ -109,9 +139,8 @@ def build_cascade(universe: DataFrame, listed: Sequence[str], most_levels: int =
     sides = [keys, S.written(passed, "passed")[0]]  # sides[i]: what level i holds
     while n := sides[-1].count():
         at = len(levels)
-        if at == most_levels:
-            raise RuntimeError("the cascade does not end: two keys share all hashes")
         levels.append(_level(sides[at], at, max(64, ceil(HASHES * n / -log(1 - 0.5 ** (1 / HASHES))))))
+        # every level hashes anew and halves what is left, so the last is soon empty
         sides.append(sides[at - 1].where(Cascade(levels)._passes(F.col("key"), at)))
     return Cascade(levels)
 

@@ -175,13 +175,53 @@ def test_licenses_in_comments(spark):
     assert {(r.doc_id, r.license, r.containment) for r in scan_licenses(df).collect()} == expected
 
 
+def _found_by_all_shingles(text, threshold=0.8):
+    """(template, shared) by comparing all shingles with all templates."""
+
+    def held(t):
+        words = [w for w in t.lower().translate(str.maketrans("", "", ".,;:!?()\"'")).split() if any(x.isalnum() for x in w)]
+        return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    own = held(text)
+    enough = [(i, s, s & own) for i, (_, t) in enumerate(TEMPLATES) if len((s := held(t)) & own) >= threshold * len(s)]
+    return {(i, len(f)) for i, s, f in enough if not any(len(g) * len(s) > len(f) * len(o) and f <= g for _, o, g in enough)}
+
+
+def test_licenses_recall_on_edited_texts(spark):
+    """Words changed, taken out and put in, also words of the notice itself, up to and beyond the threshold."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1400):
+        words = rng.choice(TEMPLATES)[1].split()
+        for _ in range(rng.randint(0, 1 + len(words) // 12)):
+            k = rng.randrange(len(words))
+            kind = rng.randrange(4)
+            if kind == 0:
+                words[k] = f"other{rng.randrange(99)}"
+            elif kind == 1:
+                del words[k : k + rng.randint(1, 3)]
+            elif kind == 2:
+                words[k:k] = [f"more{x}" for x in range(rng.randint(1, 3))]
+            else:  # a part of it once more, after some other words
+                words[k:k] = [f"f{x}" for x in range(rng.randint(0, 3))] + words[max(0, k - 4) : k]
+            words = words or ["none"]
+        rows.append((i, " ".join(words)))
+    rows.append((5000, "licensed under the gnu lesser general public f1 f2 f3 lesser general public license version 3"))
+    got = {(r.doc_id, r.template, r.shared) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    expected = {(i, *x) for i, t in rows for x in _found_by_all_shingles(t)}
+    assert got == expected and len(expected) > 700 and any(i == 5000 for i, _, _ in got)
+
+
 def test_licenses_several_passes(spark, monkeypatch):
     from asterism.llm import licenses
 
-    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(TEMPLATES[:5])], "doc_id long, text string")
-    whole = sorted(map(tuple, scan_licenses(df).collect()))
-    monkeypatch.setattr(licenses, "MAX_SHINGLES", 30)
-    assert sorted(map(tuple, scan_licenses(df).collect())) == whole and len(whole) >= 5
+    df = spark.createDataFrame([*[(i, t) for i, (_, t) in enumerate(TEMPLATES)], (None, TEMPLATES[1][1]), (3, TEMPLATES[3][1])], "doc_id long, text string")
+    whole = sorted(map(tuple, scan_licenses(df).collect()), key=repr)
+    monkeypatch.setattr(licenses, "MAX_SHINGLES", 30)  # what is left out for a better template stays so across passes
+    assert sorted(map(tuple, scan_licenses(df).collect()), key=repr) == whole and len(whole) >= len(TEMPLATES)
+    assert sum(1 for x in whole if x[0] is None) == 2 and sum(1 for x in whole if x[0] == 3) == 2
+    twice = [*TEMPLATES[:3], TEMPLATES[2]]  # equally good templates are all reported
+    assert sorted(r.template for r in scan_licenses(df.where("doc_id = 2"), twice).collect()) == [2, 3]
     assert scan_licenses(df, ()).isEmpty() and scan_licenses(df.limit(0)).isEmpty()
     with pytest.raises(ValueError):
         scan_licenses(df, [("X", "three words only")])
@@ -222,12 +262,24 @@ def test_cascade_is_exact(spark):
     universe = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
     listed = [f"k{i}" for i in range(0, 20_000, 37)]
     cascade = build_cascade(universe.union(universe.limit(50)), listed)
-    assert len(cascade.levels) > 2
+    assert len(cascade.parts[0].levels) > 2
     passed = universe.where(cascade.contains(F.col("key"))).collect()
     assert {r.key for r in passed} == set(listed)
     assert universe.where(build_cascade(universe, []).contains(F.col("key"))).isEmpty()
 
 
+def test_cascades_of_a_longer_list(spark, monkeypatch):
+    """A list beyond the size of one cascade is dealt to several; membership stays exact."""
+    from asterism.llm import urls
+
+    monkeypatch.setattr(urls, "MAX_KEYS", 100)
+    universe = spark.range(8000).select(F.concat(F.lit("k"), F.col("id")).alias("key"))
+    listed = [f"k{i}" for i in range(0, 8000, 13)]
+    cascade = build_cascade(universe, listed)
+    assert len(cascade.parts) == 7
+    assert {r.key for r in universe.where(cascade.contains(F.col("key"))).collect()} == set(listed)
+
+
 # --- 7 ---
 
 
