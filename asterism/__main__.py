@@ -1,7 +1,8 @@
-"""python -m asterism run NAME|FILE.sql [--data DIR] [--out DIR] [--repeat N] [--explain]
+"""python -m asterism run NAME|FILE.sql [--data DIR] [--form int32|coded|strings] [--out DIR] [--parts] [--repeat N] [--explain]
 
 Runs a registered query or a file of SQL over the star views; prints the rows, or
-writes them as a result file, or times repetitions in milliseconds.
+writes them as a result file (--parts: by the executors, in parts), or times repetitions in milliseconds.  With --form the
+data are the benchmark's own files: int32 columns, or .tbl text with codes or strings.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from .registry import queries, run_sql
-from .sources.sink import print_result, save_result
+from .registry import queries, run_files, run_sql
+from .sources.sink import print_result, save_distributed, save_result
 
 
 def main() -> None:
@@ -21,7 +22,9 @@ def main() -> None:
     parser.add_argument("command", choices=["run", "list"])
     parser.add_argument("query", nargs="?", default="ssb_default")
     parser.add_argument("--data", default="/root/testdata/sf0.01")
+    parser.add_argument("--form", choices=["int32", "coded", "strings"])
     parser.add_argument("--out")
+    parser.add_argument("--parts", action="store_true")
     parser.add_argument("--repeat", type=int, default=0)
     parser.add_argument("--explain", action="store_true")
     args = parser.parse_args()
@@ -33,7 +36,9 @@ def main() -> None:
 
     def frame():
         if args.query.endswith(".sql"):
-            return run_sql(spark, args.data, Path(args.query).read_text().rstrip().rstrip(";"))
+            return run_sql(spark, args.data, Path(args.query).read_text().rstrip().rstrip(";"), args.form)
+        if args.form:
+            return run_files(spark, args.data, args.form, args.query)
         return queries()[args.query](spark, args.data)
 
     if args.explain:
@@ -43,6 +48,8 @@ def main() -> None:
             began = time.perf_counter()
             frame().collect()
             print(f"{(time.perf_counter() - began) * 1e3:.3f}")
+    elif args.out and args.parts:
+        save_distributed(frame(), f"{args.out}/{name}")
     elif args.out:
         print(save_result(frame(), args.out, name))
     else:

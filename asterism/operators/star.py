@@ -8,7 +8,7 @@ adaptive execution, which know sizes; nothing here hints.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,9 @@ class StarQuery:
     measures: tuple[Column, ...] = ()
     output: tuple[str, ...] = ()
     order: tuple[Column, ...] = field(default=())
+    #: Adds further columns to the fact table, by joins with its parents, and the names of these.
+    late: Callable[[DataFrame], DataFrame] | None = None
+    late_columns: tuple[str, ...] = ()
 
     def where(self, condition: Column) -> StarQuery:
         return replace(self, condition=condition if self.condition is None else self.condition & condition)
@@ -54,18 +57,29 @@ class StarQuery:
         return replace(self, order=tuple(F.col(c) if isinstance(c, str) else c for c in columns))
 
     def frame(self) -> DataFrame:
-        """The query as a DataFrame; filters come first, then filtering dimensions, then those that add columns."""
-        df = self.fact if self.condition is None else self.fact.where(self.condition)
-        for d in sorted(self.dimensions, key=lambda d: bool(d.columns)):
-            side = d.table if d.where is None else d.table.where(d.where)
-            df = df.join(side.select(F.col(d.key), *d.columns), F.col(d.fact_key) == F.col(d.key), d.kind)
+        """The query as a DataFrame.
+
+        Dimensions on the fact table's own keys come first, those that only filter before
+        those that add columns; then its parents are joined, then come the dimensions on
+        keys that these have brought.
+        """
+
+        def joined(df: DataFrame, late: bool) -> DataFrame:
+            for d in sorted(self.dimensions, key=lambda d: bool(d.columns)):
+                if (d.fact_key in self.late_columns) == late:
+                    side = d.table if d.where is None else d.table.where(d.where)
+                    df = df.join(side.select(F.col(d.key), *d.columns), F.col(d.fact_key) == F.col(d.key), d.kind)
+            return df
+
+        df = joined(self.fact, False) if self.late else self.fact
+        if self.late:
+            df = self.late(df)
+        if self.condition is not None:
+            df = df.where(self.condition)
+        df = joined(df, True) if self.late else joined(df, False)
         if self.measures:
             df = df.groupBy(*self.group).agg(*self.measures) if self.group else df.agg(*self.measures)
         if self.output:
             df = df.select(*self.output)
         return df.orderBy(*self.order) if self.order else df
 
-
-def unique_key(df: DataFrame, key: str) -> bool:
-    """Whether no key repeats: what an inner join on a dimension relies on."""
-    return df.groupBy(key).count().where("count > 1").isEmpty()

@@ -135,14 +135,16 @@ SINGLE = {
     "agg_minmax": star("SELECT min(lo_revenue) AS least, max(lo_revenue) AS most, min(lo_orderdate) AS first_day, max(lo_orderdate) AS last_day FROM fact"),
     "sort_multi": star("SELECT d_year, lo_discount, CAST(sum(lo_revenue) AS BIGINT) AS revenue FROM fact JOIN days ON lo_orderdate = d_datekey GROUP BY d_year, lo_discount ORDER BY d_year, revenue DESC"),
     "encode_roundtrip": star("SELECT p_partkey, p_mfgr, p_category, p_brand1, p_brand1_name FROM prt"),
-    "int32_columns": star("SELECT s_suppkey AS s_suppkey, s_city, s_nation, s_region FROM (SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_city, s_nation, s_region FROM supp)"),
-    "delimited_table": star("SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_city_name AS s_city, s_nation_name AS s_nation, s_region_name AS s_region FROM supp"),
+    "int32_columns": star("SELECT CAST(lo_orderkey AS INTEGER) AS lo_orderkey, lo_linenumber, CAST(lo_custkey AS INTEGER) AS lo_custkey, CAST(lo_partkey AS INTEGER) AS lo_partkey, CAST(lo_suppkey AS INTEGER) AS lo_suppkey, lo_orderdate, lo_quantity, CAST(lo_extendedprice AS INTEGER) AS lo_extendedprice, lo_discount, CAST(lo_revenue AS INTEGER) AS lo_revenue, CAST(lo_supplycost AS INTEGER) AS lo_supplycost FROM fact"),
+    "delimited_table": star("SELECT CAST(lo_orderkey AS INTEGER) AS lo_orderkey, lo_linenumber, CAST(lo_custkey AS INTEGER) AS lo_custkey, '-' AS lo_orderpriority, lo_quantity, CAST(lo_revenue AS INTEGER) AS lo_revenue FROM fact"),
 }
 
 SQL = {
     **{f"ssb_{k}": v for k, v in CODED.items()},
     **{f"ssb_str_{k}": v for k, v in STRINGS.items()},
-    **{f"plan_ir_{k}": CODED[k] for k in ("q11", "q21", "q31", "q41", "p1")},
-    **{f"sql_{k}": CODED[k] for k in ("q12", "q22", "q33", "q43", "default")},
+    **{f"{form}_{k}": v for form in ("plan_ir", "sql") for k, v in CODED.items()},
+    **{f"files_int32_{k}": CODED[k] for k in ("q11", "q21", "q31", "q41")},
+    **{f"files_coded_{k}": CODED[k] for k in ("q12", "q22")},
+    **{f"files_strings_{k}": STRINGS[k] for k in ("q12", "q22", "q31")},
     **SINGLE,
 }

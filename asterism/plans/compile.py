@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arith import OPERATIONS, operate
 from ..functions.predicates import COMPARISONS, compare, logical, search
 from .ir import Aggregate, Call, Col, Expr, Filter, Join, Lit, Measure, Plan, Project, Scan, Search, Sort
+from .usage import order
 
 JOINS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
@@ -57,21 +58,25 @@ def _measure(m: Measure, names: list[str], zero: bool) -> Column:
     return out
 
 
-def compile_plan(plan: Plan, table: Callable[[str, list[str]], DataFrame]) -> DataFrame:
-    """The last node's rows.  table(name, columns) gives a base table; columns are renamed by node inside, so that a table may occur twice."""
-    made: list[tuple[DataFrame, list[str], list[str]]] = []  # frame, inner names, names to show
-    for at, node in enumerate(plan.nodes):
+def compile_plan(plan: Plan, table: Callable[[str, list[str]], DataFrame], fact: str = "lineorder") -> DataFrame:
+    """The last node's rows.  table(name, columns) gives a base table; columns are renamed by node inside, so that a table may occur twice.
+
+    Nodes are compiled as order() says; those that the last one does not read are left out.
+    """
+    made: dict[int, tuple[DataFrame, list[str], list[str]]] = {}  # frame, inner names, names to show
+    for at in order(plan, fact):
+        node = plan.nodes[at]
         if isinstance(node, Scan):
             inner = [f"n{at}_{i}" for i in range(len(node.columns))]
             df = table(node.table, list(node.columns)).select(*[F.col(c).alias(i) for c, i in zip(node.columns, inner)])
-            made.append((df, inner, list(node.columns)))
+            made[at] = (df, inner, list(node.columns))
         elif isinstance(node, Filter):
             df, inner, shown = made[node.input]
-            made.append((df.where(_expression(node.condition, inner)), inner, shown))
+            made[at] = (df.where(_expression(node.condition, inner)), inner, shown)
         elif isinstance(node, Project):
             df, inner, _ = made[node.input]
             new = [f"n{at}_{i}" for i in range(len(node.exprs))]
-            made.append((df.select(*[_expression(e, inner).alias(i) for e, i in zip(node.exprs, new)]), new, list(node.names)))
+            made[at] = (df.select(*[_expression(e, inner).alias(i) for e, i in zip(node.exprs, new)]), new, list(node.names))
         elif isinstance(node, Join):
             if node.kind not in JOINS:
                 raise ValueError(f"no join {node.kind!r}")
@@ -83,23 +88,23 @@ def compile_plan(plan: Plan, table: Callable[[str, list[str]], DataFrame]) -> Da
             df = left.join(right, F.col(ln[node.left_key]) == F.col(rn[node.right_key]), JOINS[node.kind])
             if node.kind in ("semi", "anti"):  # positions stay, but nothing is there
                 rn = rs = [None] * len(rn)
-            made.append((df, ln + rn, ls + rs))
+            made[at] = (df, ln + rn, ls + rs)
         elif isinstance(node, Aggregate):
             df, inner, shown = made[node.input]
             new = [inner[i] for i in node.group] + [f"n{at}_{i}" for i in range(len(node.measures))]
             found = [_measure(m, inner, node.zero_if_empty and not node.group).alias(f"n{at}_{i}") for i, m in enumerate(node.measures)]
             keys = list(dict.fromkeys(inner[i] for i in node.group))
             df = df.groupBy(*keys).agg(*found) if keys else df.agg(*found)
-            made.append((df.select(*new), new, [shown[i] for i in node.group] + [m.name for m in node.measures]))
+            made[at] = (df.select(*new), new, [shown[i] for i in node.group] + [m.name for m in node.measures])
         elif isinstance(node, Sort):
             df, inner, shown = made[node.input]
             keys = []
             for k in node.keys:
                 c = _column(inner, k.index)
                 keys.append((c.desc_nulls_last() if k.nulls_last else c.desc_nulls_first()) if k.descending else (c.asc_nulls_last() if k.nulls_last else c.asc_nulls_first()))
-            made.append((df.orderBy(*keys), inner, shown))
+            made[at] = (df.orderBy(*keys), inner, shown)
         else:
             raise ValueError(f"no node {node!r}")
-    df, inner, shown = made[-1]
+    df, inner, shown = made[len(plan.nodes) - 1]
     inner, shown = [i for i in inner if i], [s for s in shown if s]
     return df.toDF(*shown) if len(set(inner)) == len(inner) else df.select(*[F.col(i) for i in inner]).toDF(*shown)

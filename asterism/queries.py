@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.arith import operate
-from .operators.star import StarQuery
-from .sources.starviews import Star
+from .sources.starviews import Bounds, Star
 
 C = F.col
 
@@ -29,35 +28,43 @@ def _revenue(name: str = "lo_revenue", value: Column | None = None) -> Column:
 # --- flight 1: a filtered fact table, one sum of products -------------------------------
 
 
-def _flight1(star: Star, condition: Column, by_date: Column | None = None) -> DataFrame:
-    q = StarQuery(star.lineorder(["lo_orderdate", "lo_discount", "lo_quantity", "lo_extendedprice"])).where(condition)
+def _within(bounds: Bounds) -> Column:
+    out = None
+    for name, low, high in bounds:
+        x = C(name) <= high if low is None else C(name) >= low if high is None else _between(name, low, high)
+        out = x if out is None else out & x
+    return out
+
+
+def _flight1(star: Star, bounds: Bounds, by_date: Column | None = None) -> DataFrame:
+    q = star.query(["lo_orderdate", "lo_discount", "lo_quantity", "lo_extendedprice"], bounds).where(_within(bounds))
     if by_date is not None:
         q = q.dimension(star.ddate(), "d_datekey", "lo_orderdate", by_date)
     return q.aggregate(_revenue("revenue", operate("*", C("lo_extendedprice"), C("lo_discount")))).frame()
 
 
 def q11(star: Star) -> DataFrame:
-    return _flight1(star, _between("lo_orderdate", 19960101, 19970101) & _between("lo_discount", 1, 3) & (C("lo_quantity") < 25))
+    return _flight1(star, [("lo_orderdate", 19960101, 19970101), ("lo_discount", 1, 3), ("lo_quantity", None, 24)])
 
 
 def q12(star: Star) -> DataFrame:
-    return _flight1(star, _between("lo_orderdate", 19970101, 19970131) & _between("lo_discount", 4, 6) & _between("lo_quantity", 26, 35))
+    return _flight1(star, [("lo_orderdate", 19970101, 19970131), ("lo_discount", 4, 6), ("lo_quantity", 26, 35)])
 
 
 def q13(star: Star) -> DataFrame:
-    return _flight1(star, _between("lo_orderdate", 19970204, 19970210) & _between("lo_discount", 5, 7) & _between("lo_quantity", 26, 35))
+    return _flight1(star, [("lo_orderdate", 19970204, 19970210), ("lo_discount", 5, 7), ("lo_quantity", 26, 35)])
 
 
 def str_q11(star: Star) -> DataFrame:
-    return _flight1(star, _between("lo_discount", 1, 3) & (C("lo_quantity") < 25), C("d_year") == 1996)
+    return _flight1(star, [("lo_discount", 1, 3), ("lo_quantity", None, 24)], C("d_year") == 1996)
 
 
 def str_q12(star: Star) -> DataFrame:
-    return _flight1(star, _between("lo_discount", 4, 6) & _between("lo_quantity", 26, 35), C("d_yearmonthnum") == 199701)
+    return _flight1(star, [("lo_discount", 4, 6), ("lo_quantity", 26, 35)], C("d_yearmonthnum") == 199701)
 
 
 def str_q13(star: Star) -> DataFrame:
-    return _flight1(star, _between("lo_discount", 5, 7) & _between("lo_quantity", 26, 35), (C("d_year") == 1997) & (C("d_yearmonthnum") == 199702))
+    return _flight1(star, [("lo_discount", 5, 7), ("lo_quantity", 26, 35)], (C("d_year") == 1997) & (C("d_yearmonthnum") == 199702))
 
 
 # --- flight 2: revenue by year and brand ------------------------------------------------
@@ -65,7 +72,7 @@ def str_q13(star: Star) -> DataFrame:
 
 def _flight2(star: Star, part: Column, supplier: Column, brand: str = "p_brand1", region: str = "s_region") -> DataFrame:
     return (
-        StarQuery(star.lineorder(["lo_orderdate", "lo_partkey", "lo_suppkey", "lo_revenue"]))
+        star.query(["lo_orderdate", "lo_partkey", "lo_suppkey", "lo_revenue"])
         .dimension(star.dimension("supplier", region), "s_suppkey", "lo_suppkey", supplier)
         .dimension(star.part(), "p_partkey", "lo_partkey", part, [brand])
         .dimension(star.ddate(), "d_datekey", "lo_orderdate", None, ["d_year"])
@@ -108,7 +115,7 @@ def _flight3(star: Star, customer: Column, supplier: Column, day: Column, place:
         return star.dimension(table, *{f"{prefix}_{x}" for x in (place, by or place)})
 
     return (
-        StarQuery(star.lineorder(["lo_orderdate", "lo_custkey", "lo_suppkey", "lo_revenue"]))
+        star.query(["lo_orderdate", "lo_custkey", "lo_suppkey", "lo_revenue"])
         .dimension(side("customer", "c"), "c_custkey", "lo_custkey", customer, [f"c_{place}"])
         .dimension(side("supplier", "s"), "s_suppkey", "lo_suppkey", supplier, [f"s_{place}"])
         .dimension(star.ddate(), "d_datekey", "lo_orderdate", day, ["d_year"])
@@ -166,7 +173,7 @@ def _flight4(star: Star, customer: Column, supplier: Column, part: Column, day:
     profit = F.sum(operate("-", C("lo_revenue"), C("lo_supplycost"))).cast("bigint").alias("profit")
     cost = [] if measure is not None else ["lo_supplycost"]
     q = (
-        StarQuery(star.lineorder(["lo_orderdate", "lo_custkey", "lo_suppkey", "lo_partkey", "lo_revenue", *cost]))
+        star.query(["lo_orderdate", "lo_custkey", "lo_suppkey", "lo_partkey", "lo_revenue", *cost])
         .dimension(star.dimension("customer", by[0], *own("c_")), "c_custkey", "lo_custkey", customer, own("c_"))
         .dimension(star.dimension("supplier", by[1], *own("s_")), "s_suppkey", "lo_suppkey", supplier, own("s_"))
         .dimension(star.part(), "p_partkey", "lo_partkey", part, own("p_"))
@@ -206,7 +213,7 @@ def p1(star: Star) -> DataFrame:
 
 def default(star: Star) -> DataFrame:
     return (
-        StarQuery(star.lineorder(["lo_orderdate", "lo_partkey", "lo_suppkey", "lo_revenue"]))
+        star.query(["lo_orderdate", "lo_partkey", "lo_suppkey", "lo_revenue"])
         .dimension(star.ddate(), "d_datekey", "lo_orderdate")
         .dimension(star.part(), "p_partkey", "lo_partkey")
         .dimension(star.dimension("supplier", "s_city"), "s_suppkey", "lo_suppkey")

@@ -15,7 +15,8 @@ from .operators.star import StarQuery
 from .plans import examples
 from .plans.compile import compile_plan
 from .plans.usage import semi_joins
-from .sources.readers import from_int32, parse_lines, to_int32
+from .sources.readers import delimited_table, scratch, write_delimited
+from .sources.saved import FileStar, export_star
 from .sources.schema import schema
 from .sources.starviews import Star
 
@@ -33,13 +34,18 @@ def run_plan(spark: SparkSession, sf_dir: str, plan) -> DataFrame:
     return compile_plan(semi_joins(plan, examples.UNIQUE), table)
 
 
-def run_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+def run_sql(spark: SparkSession, sf_dir: str, text: str, form: str | None = None) -> DataFrame:
     """SQL text over the star views, in a session of its own, so that the caller's views stay as they are."""
     own = spark.newSession()
-    Star(own, sf_dir).register()
+    (FileStar(own, sf_dir, form) if form else Star(own, sf_dir)).register()
     return own.sql(text)
 
 
+def run_files(spark: SparkSession, directory: str, form: str, name: str) -> DataFrame:
+    """A benchmark query, as q21 or ssb_q21, over a directory of the benchmark's own files."""
+    return (star_queries.STRINGS if form == "strings" else star_queries.CODED)[name.removeprefix("ssb_").removeprefix("str_")](FileStar(spark, directory, form))
+
+
 def _fact(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return Star(spark, sf_dir).lineorder([*KEYS, *columns])
 
@@ -77,25 +83,18 @@ def _roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return Star(spark, d).part().select("p_partkey", encode.mfgr_code(name).alias("p_mfgr"), encode.category_code(name).alias("p_category"), encode.brand_code(name).alias("p_brand1"), encode.brand_name(encode.brand_code(name)).alias("p_brand1_name"))
 
 
-def _supplier_rows(spark: SparkSession, d: str, names: bool) -> DataFrame:
-    """The supplier dimension in the benchmark's own layout."""
-    end = "_name" if names else ""
-    cols = {"s_suppkey": C("s_suppkey").cast("int"), **{f"s_{k}": C(f"s_{k}{end}") for k in ("city", "nation", "region")}}
-    return Star(spark, d).supplier().select(*[v.alias(k) for k, v in cols.items()])
+def _files(spark: SparkSession, d: str, form: str) -> FileStar:
+    """The star written in one of the benchmark's own file forms, to be read back."""
+    return export_star(Star(spark, d), scratch(spark, form), form)
 
 
 def _delimited(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of delimited text, parsed with the declared schema as the file reader does."""
-    kinds = schema("supplier", coded=False)
-    rows = _supplier_rows(spark, d, True)
-    line = F.concat_ws("|", *[C(f.name).cast("string") if f.name in rows.columns else F.lit("-") for f in kinds.fields])
-    return parse_lines(rows.select(line.alias("value")), "supplier", coded=False).select("s_suppkey", "s_city", "s_nation", "s_region")
-
-
-def _int32(spark: SparkSession, d: str) -> DataFrame:
-    """Integers packed to four little-endian bytes and back, by the expressions of the raw column reader."""
-    rows = _supplier_rows(spark, d, False)
-    return rows.select(*[from_int32(to_int32(C(c))).alias(c) for c in rows.columns])
+    """The fact table as lines of delimited text in files, and what the reader makes of them."""
+    kinds = schema("lineorder")
+    fact = Star(spark, d).lineorder()
+    rows = fact.select(*[(C(f.name) if f.name in fact.columns else F.lit("-" if f.dataType.typeName() == "string" else 0)).cast(f.dataType).alias(f.name) for f in kinds.fields])
+    write_delimited(rows, path := f"{scratch(spark, 'delimited')}/lineorder.tbl")
+    return delimited_table(spark, path, "lineorder").select("lo_orderkey", "lo_linenumber", "lo_custkey", "lo_orderpriority", "lo_quantity", "lo_revenue")
 
 
 SINGLE: dict[str, Query] = {
@@ -138,7 +137,7 @@ SINGLE: dict[str, Query] = {
     "sort_multi": _by("d_year", "lo_discount", order=True),
     "encode_roundtrip": _roundtrip,
     "delimited_table": _delimited,
-    "int32_columns": _int32,
+    "int32_columns": lambda s, d: _files(s, d, "int32").lineorder(),
 }
 
 
@@ -147,6 +146,10 @@ def queries() -> dict[str, Query]:
     out |= {f"ssb_str_{k}": lambda s, d, f=f: f(Star(s, d)) for k, f in star_queries.STRINGS.items()}
     out |= {f"plan_ir_{k}": lambda s, d, f=f: run_plan(s, d, f()) for k, f in examples.PLANS.items()}
     out |= {f"sql_{k}": lambda s, d, t=t: run_sql(s, d, t) for k, t in sql_texts.TEXTS.items()}
+    forms = {"int32": ("q11", "q21", "q31", "q41"), "coded": ("q12", "q22"), "strings": ("q12", "q22", "q31")}
+    for form, names in forms.items():
+        source = star_queries.STRINGS if form == "strings" else star_queries.CODED
+        out |= {f"files_{form}_{k}": lambda s, d, f=source[k], form=form: f(_files(s, d, form)) for k in names}
     return out | SINGLE
 
 

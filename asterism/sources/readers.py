@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 from collections.abc import Sequence
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import int32
 from .schema import TABLES, ordinals, schema
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where the master is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or tempfile.mkdtemp(prefix='asterism-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def parquet_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
@@ -39,14 +51,10 @@ def write_delimited(df: DataFrame, path: str, separator: str = "|") -> None:
     df.write.mode("overwrite").csv(path, sep=separator)
 
 
-_ROW_BYTES = 4
-
-
-def int32_columns(spark: SparkSession, directory: str, table: str, columns: Sequence[str]) -> DataFrame:
+def int32_columns(spark: SparkSession, directory: str, table: str, columns: Sequence[str], rows: int = int32.ROWS) -> DataFrame:
     """Columns from headerless files ``<TABLE><position>`` of int32 values, as one table in file order.
 
-    Only the asked columns' files are read.  Spark reads fixed-length records in
-    splits, so a file of any size is read in parallel; rows meet by position.
+    Only the asked columns' files are read, ranges of so many rows in parallel.
     Without columns: the rows that position 0's file has.  Files of different lengths are an
     error, found where the table is used.
     """
@@ -54,46 +62,17 @@ def int32_columns(spark: SparkSession, directory: str, table: str, columns: Sequ
         raise ValueError(f"no table {table!r}")
     place = {name: i for i, name in ordinals(table).items()}
     wanted = list(columns) or [ordinals(table)[0]]
-    out = None
-    for name in wanted:
-        records = spark.sparkContext.binaryRecords(f"{directory}/{table.upper()}{place[name]}", _ROW_BYTES).zipWithIndex()
-        # zipWithIndex counts by partition; file order is kept
-        df = spark.createDataFrame(records.map(lambda r: (r[1], bytes(r[0]))), "at bigint, raw binary")
-        df = df.select("at", from_int32(F.col("raw")).alias(name))
-        out = df if out is None else out.join(df, "at", "full")
-    checked = [F.coalesce(F.col(n), F.raise_error(F.lit(f"{table}: column files differ in length")).cast("int")).alias(n) for n in wanted]
-    return out.select(*checked) if columns else out.select()
-
-
-def _swapped(hexed: Column) -> Column:
-    """Eight hex digits with their bytes in the opposite order."""
-    return F.concat(*[F.substring(hexed, i, 2) for i in (7, 5, 3, 1)])
-
-
-def from_int32(raw: Column) -> Column:
-    """Four little-endian bytes as an integer."""
-    value = F.conv(_swapped(F.hex(raw)), 16, 10).cast("bigint")
-    return F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value).cast("int")
-
-
-def to_int32(value: Column) -> Column:
-    """An integer as four little-endian bytes."""
-    digits = F.hex(F.pmod(value.cast("bigint"), F.lit(1 << 32)))
-    return F.unhex(_swapped(F.lpad(digits, 8, "0")))
+    paths = [f"{directory}/{table.upper()}{place[name]}" for name in wanted]
+    df = spark.read.format(int32.registered(spark)).options(paths="\n".join(paths), names="\n".join(wanted), rows=str(rows)).load()
+    return df if columns else df.select()
 
 
 def write_int32_columns(df: DataFrame, directory: str, table: str) -> None:
-    """The driver writes a small table in that format; for tests and for moving dimensions."""
-    import struct
-    from pathlib import Path
-
+    """The driver writes a table in that format, one Arrow batch after the other; for tests and for moving tables of a size that it can hold."""
     place = {name: i for i, name in ordinals(table).items()}
     Path(directory).mkdir(parents=True, exist_ok=True)
-    files = {name: open(f"{directory}/{table.upper()}{place[name]}", "wb") for name in df.columns}
-    try:
-        for row in df.toLocalIterator():
-            for name, f in files.items():
-                f.write(struct.pack("<i", row[name]))
-    finally:
-        for f in files.values():
-            f.close()
+    held = df.toArrow()
+    for name in df.columns:
+        with open(f"{directory}/{table.upper()}{place[name]}", "wb") as f:
+            for chunk in held[name].chunks:
+                f.write(chunk.cast("int32").to_numpy(zero_copy_only=False).astype("<i4").tobytes())

@@ -12,13 +12,21 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .starviews import DIMENSIONS, FACT_COLUMNS, Star
+from ..functions import encode
+from .readers import delimited_table, int32_columns, write_delimited, write_int32_columns
+from .schema import CODED, schema
+from ..operators.star import StarQuery
+from .starviews import DIMENSIONS, FACT_COLUMNS, Bounds, Star
+
+#: Rows of a file of the stored fact table: about 100 MB.
+FILE_ROWS = 5_000_000
 
 
 def save_star(star: Star, path: str) -> SavedStar:
-    """Writes all tables of a star; the number of files follows the session's shuffle partitions."""
+    """Writes all tables of a star; the fact table in files of about FILE_ROWS rows each."""
     fact = star.lineorder()
-    fact.repartitionByRange("lo_orderdate", "lo_orderkey").sortWithinPartitions("lo_orderdate").write.mode("overwrite").parquet(f"{path}/lineorder")
+    files = -(-star.lineorder(["lo_orderkey"]).count() // FILE_ROWS) or 1
+    fact.repartitionByRange(max(files, star.spark.sparkContext.defaultParallelism), "lo_orderdate", "lo_orderkey").sortWithinPartitions("lo_orderdate").write.mode("overwrite").parquet(f"{path}/lineorder")
     for name in DIMENSIONS:
         df = star.dimension(name)
         if name == "ddate":  # only the days between the fact table's first and last
@@ -44,6 +52,10 @@ class SavedStar(Star):
     def lineorder(self, columns: Iterable[str] = FACT_COLUMNS) -> DataFrame:
         return self._table("lineorder").select(*columns)
 
+    def query(self, columns: Iterable[str], bounds: Bounds = ()) -> StarQuery:
+        """The fact table as it is stored; its own conditions are pushed down as they stand."""
+        return StarQuery(self.lineorder(columns))
+
     def ddate(self) -> DataFrame:
         return self._table("ddate")
 
@@ -57,3 +69,69 @@ class SavedStar(Star):
     def supplier(self, *columns: str) -> DataFrame:
         df = self._table("supplier")
         return df.select(*dict.fromkeys(("s_suppkey", *columns))) if columns else df
+
+
+class FileStar(SavedStar):
+    """The star in the benchmark's own files: ``<TABLE><position>`` columns of int32 values, or ``<table>.tbl`` text, coded or with strings.
+
+    Coded files have integers for places, makers, categories and brands; files with strings have
+    their names, from which makers', categories' and brands' codes are found.
+    """
+
+    def __init__(self, spark: SparkSession, directory: str, form: str = "int32"):
+        if form not in ("int32", "coded", "strings"):
+            raise ValueError(f"no form {form!r}")
+        super().__init__(spark, directory)
+        self.form = form
+
+    def _table(self, name: str) -> DataFrame:
+        if self.form == "int32":
+            return int32_columns(self.spark, self.directory, name, [c for c in USED[name] if not c.endswith("_name")])
+        df = delimited_table(self.spark, f"{self.directory}/{name}.tbl", name, coded=self.form == "coded")
+        held = [c for c in USED[name] if c in df.columns]
+        return df.select(*[F.col(c).alias(f"{c}_name") if self.form == "strings" and c in CODED else F.col(c) for c in held])
+
+    def lineorder(self, columns: Iterable[str] = FACT_COLUMNS) -> DataFrame:
+        if self.form == "int32":
+            return int32_columns(self.spark, self.directory, "lineorder", list(columns))
+        return super().lineorder(columns)
+
+    def ddate(self) -> DataFrame:
+        return self._table("ddate").withColumn("d_yearmonth", encode.yearmonth_name(F.col("d_yearmonthnum")))
+
+    def part(self) -> DataFrame:
+        df = self._table("part")
+        made = {"p_mfgr": encode.mfgr_code, "p_category": encode.category_code, "p_brand1": encode.brand_code}
+        named = {"p_mfgr": encode.mfgr_name, "p_category": encode.category_name, "p_brand1": encode.brand_name}
+        if self.form == "strings":
+            return df.select("*", *[f(F.col(f"{c}_name")).alias(c) for c, f in made.items()])
+        return df.select("*", *[f(F.col(c)).alias(f"{c}_name") for c, f in named.items()])
+
+
+# The columns of each table that the queries need.
+USED = {
+    "lineorder": FACT_COLUMNS,
+    "ddate": ("d_datekey", "d_year", "d_yearmonthnum"),
+    "customer": ("c_custkey", "c_city", "c_nation", "c_region"),
+    "supplier": ("s_suppkey", "s_city", "s_nation", "s_region"),
+    "part": ("p_partkey", "p_mfgr", "p_category", "p_brand1"),
+}
+
+
+def export_star(star: Star, directory: str, form: str = "int32") -> FileStar:
+    """Writes a star in the benchmark's own files; columns that no query needs hold 0 or ``-`` as text and are left out as int32."""
+    for name, used in USED.items():
+        df = star.lineorder(used) if name == "lineorder" else star.dimension(name)
+        if form == "int32":
+            write_int32_columns(df.select(*[F.col(c).cast("int") for c in used]), directory, name)
+            continue
+        kinds = schema(name, coded=form == "coded")
+
+        def value(f):
+            held = f"{f.name}_name" if form == "strings" and f.name in CODED else f.name
+            if f.name in used and held in df.columns:
+                return F.col(held).cast(f.dataType).alias(f.name)
+            return F.lit(0 if f.dataType.typeName() == "integer" else "-").alias(f.name)
+
+        write_delimited(df.select(*[value(f) for f in kinds.fields]), f"{directory}/{name}.tbl")
+    return FileStar(star.spark, directory, form)

@@ -7,18 +7,53 @@ for; keys find their parents, so leaving a join out changes no row.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode
+from ..operators.star import StarQuery
 from .readers import parquet_table
 
 #: Days that the date dimension has.
 FIRST_DAY, LAST_DAY = "1970-01-01", "2069-12-31"
 
 
+#: (fact column, least, most); None: open.
+Bounds = Sequence[tuple[str, int | None, int | None]]
+
+
+def _base_bound(column: str, low: int | None, high: int | None) -> tuple[str, Column] | None:
+    """The table and a condition on its stored column that holds wherever the fact column is within the bounds; scans can prune by it."""
+    if column == "lo_orderdate":
+        def day(code: int) -> date | None:
+            try:
+                return date(code // 10000, code // 100 % 100, code % 100)
+            except ValueError:  # no day of the calendar
+                return None
+
+        first, last = (None if x is None else day(x) for x in (low, high))
+        limits = [F.col("o_orderdate") >= F.lit(str(first)).cast("timestamp_ntz")] if first else []
+        limits += [F.col("o_orderdate") < F.lit(str(last + timedelta(days=1))).cast("timestamp_ntz")] if last else []
+        table = "orders"
+    elif column == "lo_quantity":  # cut to a whole number
+        limits = [F.col("l_quantity") > float(low - 1)] if low is not None else []
+        limits += [F.col("l_quantity") < float(high + 1)] if high is not None else []
+        table = "lineitem"
+    elif column == "lo_discount":  # rounded to hundredths
+        limits = [F.col("l_discount") >= (low - 1) / 100] if low is not None else []
+        limits += [F.col("l_discount") <= (high + 1) / 100] if high is not None else []
+        table = "lineitem"
+    else:
+        return None
+    out = None
+    for x in limits:
+        out = x if out is None else out & x
+    return None if out is None else (table, out)
+
+
 def _cents(value: str) -> Column:
     return F.round(F.expr(value) * 100).cast("bigint")
 
@@ -59,18 +94,38 @@ class Star:
         return parquet_table(self.spark, self.directory, name)
 
     def lineorder(self, columns: Iterable[str] = FACT_COLUMNS) -> DataFrame:
-        wanted = list(columns)
+        return self.query(columns).frame().select(*columns)
+
+    def query(self, columns: Iterable[str], bounds: Bounds = ()) -> StarQuery:
+        """A query of the fact table: lineitem's columns first, so that dimensions on its keys filter it before it meets its parents.
+
+        bounds: what the query's own conditions say of single columns, for the scans; they replace no condition.
+        """
+        wanted = list(dict.fromkeys(columns))
         unknown = [c for c in wanted if c not in FACT_COLUMNS]
         if unknown:
             raise ValueError(f"no fact columns {unknown}")
         fact = _fact()
-        df = self.base("lineitem")
-        needs = {fact[c][0] for c in wanted}
-        if "orders" in needs:
-            df = df.join(self.base("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        if "part" in needs:
-            df = df.join(self.base("part").select("p_partkey", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey"))
-        return df.select(*[fact[c][1].alias(c) for c in wanted])
+        limits = [x for b in bounds if (x := _base_bound(*b))]
+
+        def base(name: str) -> DataFrame:
+            df = self.base(name)
+            for table, limit in limits:
+                df = df.where(limit) if table == name else df
+            return df
+
+        own = [c for c in wanted if not fact[c][0]]
+        orders, part = ([c for c in wanted if fact[c][0] == t] for t in ("orders", "part"))
+        keys = [F.col(k) for k, needed in (("l_orderkey", orders), ("l_partkey", part)) if needed]
+
+        def late(df: DataFrame) -> DataFrame:
+            if orders:
+                df = df.join(base("orders").select("o_orderkey", *[fact[c][1].alias(c) for c in orders]), F.col("l_orderkey") == F.col("o_orderkey"))
+            if part:
+                df = df.join(base("part").select(F.col("p_partkey").alias("l_part"), *[fact[c][1].alias(c) for c in part]), F.col("l_partkey") == F.col("l_part"))
+            return df.drop("l_orderkey", "o_orderkey", "l_partkey", "l_part") if keys else df
+
+        return StarQuery(base("lineitem").select(*keys, *[fact[c][1].alias(c) for c in own]), late=late, late_columns=(*orders, *part))
 
     def ddate(self) -> DataFrame:
         days = self.spark.sql(f"SELECT explode(sequence(DATE'{FIRST_DAY}', DATE'{LAST_DAY}')) AS day")

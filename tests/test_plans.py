@@ -6,7 +6,7 @@ from asterism.functions.predicates import Range
 from asterism.plans import examples
 from asterism.plans.compile import compile_plan
 from asterism.plans.ir import Aggregate, Call, Col, Filter, Join, Key, Lit, Measure, Plan, Project, Scan, Search, Sort
-from asterism.plans.usage import order, semi_joins, table_columns, used, widths
+from asterism.plans.usage import order, semi_joins, used, widths
 
 
 @pytest.fixture
@@ -115,7 +115,8 @@ def test_sort_and_repeated_columns(table):
 def test_usage():
     plan = examples.q21()
     assert widths(plan)[-1] == 3 and used(plan)[-1] == {0, 1, 2}
-    assert table_columns(plan) == {"supplier": {"s_suppkey", "s_region"}, "part": {"p_partkey", "p_category", "p_brand1"}, "ddate": {"d_datekey", "d_year"}, "lineorder": {"lo_orderdate", "lo_partkey", "lo_suppkey", "lo_revenue"}}
+    read = {n.table: {n.columns[i] for i in x} for n, x in zip(plan.nodes, used(plan)) if isinstance(n, Scan)}
+    assert read == {"supplier": {"s_suppkey", "s_region"}, "part": {"p_partkey", "p_category", "p_brand1"}, "ddate": {"d_datekey", "d_year"}, "lineorder": {"lo_orderdate", "lo_partkey", "lo_suppkey", "lo_revenue"}}
     kinds = [n.kind for n in semi_joins(plan, examples.UNIQUE).nodes if isinstance(n, Join)]
     assert kinds == ["semi", "inner", "inner"]
     assert [n.kind for n in semi_joins(plan, set()).nodes if isinstance(n, Join)] == ["inner"] * 3
@@ -126,3 +127,11 @@ def test_order_puts_the_fact_late():
     at = order(plan, "lineorder")
     scans = [i for i in at if isinstance(plan.nodes[i], Scan)]
     assert plan.nodes[scans[-1]].table == "lineorder" and sorted(at) == list(range(len(plan.nodes)))
+
+
+def test_nodes_that_nothing_reads_are_not_compiled(table):
+    p = Plan()
+    p.add(Scan("no such table", ("x",)))
+    f = fact(p)
+    p.add(Aggregate(f, (), (Measure("COUNT", None, "n"),)))
+    assert order(p, "fact") == [1, 2] and run(p, table) == [(8,)]
