@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -23,10 +24,13 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This run's folder below spark.checkpoint.dir; below a temporary folder only where that is unset (local tests)."""
+    """This run's folder below spark.checkpoint.dir; below a temporary folder only where that is unset and the master local (tests)."""
     app = spark.sparkContext.applicationId
     if app not in _root:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = base or tempfile.mkdtemp(prefix="checkpoints-")
         _root[app] = f"{base.rstrip('/')}/work-{uuid.uuid4().hex[:12]}"
         atexit.register(_clean, spark, _root[app])
     return _root[app]
@@ -79,6 +83,14 @@ def small_batches(df: DataFrame) -> None:
 MOST_PARTITIONS = 20_000
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, in any case of letters."""
+    held = {x.lower() for x in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def stored_bytes(df: DataFrame) -> int:
     """About the bytes of df's sources as stored; if one does not know its size, half of the bytes of the strings, by one pass over them."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

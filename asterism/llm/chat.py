@@ -193,6 +193,10 @@ def _branch(pack: dict, node: int) -> tuple:
 
 
 def read_packs(packs: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, turns), read back from format_conversations()."""
+    """(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, turns), read back from format_conversations().
+
+    One row for each leaf of each pack; a null conv_id stays null.  Empty texts and roles come
+    back as empty ones.  An empty table gives an empty result; other columns are not read.
+    """
     S.small_batches(packs)
     return packs.select("text", "nodes", "leaves").mapInArrow(S.tidy(_read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, turns array<struct<role: string, text: string>>")

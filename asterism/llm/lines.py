@@ -128,15 +128,16 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spots = texts.mapInArrow(S.tidy(_emit), "key long, doc_id long, chunk int, body binary")
     gone = spots.repartition(n, "key").sortWithinPartitions("key", "doc_id", "chunk").mapInArrow(S.tidy(_compare), "doc_id long, chunk int")
-    gone = gone.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("chunk").alias("__gone"))
+    doc, chunk = S.fresh("__doc", own.columns), S.fresh("__gone", own.columns)
+    gone = gone.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list("chunk").alias(chunk))
     schema = T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_lines_removed", T.LongType())])
     names = own.columns
 
     def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [_without(t, g) for t, g in zip(batch.column("text").to_pylist(), batch.column("__gone").to_pylist())]
+            made = [_without(t, g) for t, g in zip(batch.column("text").to_pylist(), batch.column(chunk).to_pylist())]
             cols = [pa.array([m[0] for m in made], pa.string()) if x == "text" else batch.column(x) for x in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array([m[1] for m in made], pa.int64()), pa.array([m[2] for m in made], pa.int64())], [*names, "n_lines", "n_lines_removed"])
 
-    joined = own.join(gone, own["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
+    joined = own.join(gone, own["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
     return joined.mapInArrow(S.tidy(rest), schema)

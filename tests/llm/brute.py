@@ -55,18 +55,37 @@ def near(rows, k=4, percent=80):
     return {(i, len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
-def lines(rows, chunks, least=2):
+def cut(text, shortest=2, longest=16, divisor=2):
+    """Line ranges of chunks: a chunk ends after its n-th filled line, n from shortest on, if the hash of its last two filled lines says so, or at longest."""
+
+    def h(line):
+        return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little")
+
+    every = text.split(b"\n")
+    filled = [i for i, x in enumerate(every) if x.strip()]
+    ends, n = [], 0
+    for k, i in enumerate(filled[:-1]):
+        n += 1
+        two = ((h(every[filled[k - 1]]) if k else 0) * 0x9E3779B97F4A7C15 + h(every[i])) % 2**64
+        spread = ((two ^ two >> 29) * 0xBF58476D1CE4E5B9) % 2**64 >> 40
+        if n >= longest or (n >= shortest and spread % divisor == 0):
+            ends.append(filled[k + 1])
+            n = 0
+    return list(zip([0, *ends], [*ends, len(every)]))
+
+
+def lines(rows, least=2):
     spots = {}
     for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
         own = t.encode().split(b"\n")
-        for c, (a, b) in enumerate(chunks(t.encode())):
+        for c, (a, b) in enumerate(cut(t.encode())):
             if sum(1 for x in own[a:b] if x.strip()) >= least:
                 spots.setdefault(b"\n".join(own[a:b]), (i, c))
     out = {}
     for i, t in rows:
         own = (t or "").encode().split(b"\n")
         kept = []
-        for c, (a, b) in enumerate(chunks((t or "").encode())):
+        for c, (a, b) in enumerate(cut((t or "").encode())):
             body = b"\n".join(own[a:b])
             if i is None or spots.get(body, (i, c)) == (i, c):
                 kept += own[a:b]

@@ -455,14 +455,13 @@ def test_pipeline(spark, data):
     import corpus_pipeline as P
 
     from asterism.llm.decontam import find_contamination
-    from asterism.llm.lines import chunks
     from asterism.llm.neardup import near_duplicates
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
     labels, bench = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("labels", "benchmark"))
     scores = {r.doc_id: r.predicted for r in score_toxicity(docs, labels).collect()}
     kept = [(r.doc_id, r.text) for r in docs.collect() if not scores[r.doc_id]]
-    texts = brute.lines(kept, chunks)
+    texts = brute.lines(kept)
     groups = brute.near(list(texts.items()), 5)
     left = {i for i, _, _, first in groups if first}
     items = [r.text for r in bench.collect()]
@@ -500,6 +499,24 @@ def test_stages_on_odd_rows(spark, data, odd, empty):
         assert stage(spark, empty, data).isEmpty(), name
 
 
+def test_pipeline_on_odd_rows(spark, data, odd, corpus, tmp_path):
+    """The whole run over nulls, repeated rows and long texts, with the results of the plain versions."""
+    import corpus_pipeline as P
+
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    item = " ".join(next(t for i, t in corpus if i == 408).split()[200:240])
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = P.run(spark, str(tmp_path)).collect()
+    rows = {r.doc_id: r.text for r in odd.select("doc_id", "text").collect() if r.doc_id is not None}
+    texts = brute.lines(list(rows.items()))
+    left = {i for i, _, _, first in brute.near(list(texts.items()), 5) if first}
+    assert {r.doc_id for r in out} - {None} == left - {408} and 408 in left
+    assert sum(1 for r in out if r.doc_id is None) == sum(1 for i, _ in corpus if i is None) and all(r.round_trip and r.parity for r in out)
+    tokens = {r.doc_id: r.n_tokens for r in out}
+    assert all(tokens[i] == 0 for i in (400, 401, 409)) and tokens[9000] > 150_000
+
+
 def test_long_texts(spark, odd):
     from asterism.llm.decontam import find_contamination
     from asterism.llm.fingerprints import fingerprints
