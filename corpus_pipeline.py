@@ -2,6 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and all rows that its predecessor kept;
 all but the last return the columns of documents.
+
+In every stage a null or empty text is a document like others, a null doc_id is no key and
+links its row to nothing, rows that repeat a doc_id count as one document, an empty
+table stays empty, and columns of any name pass through to the stage before the last.
 """
 
 from __future__ import annotations
@@ -22,30 +26,45 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.5 or more go."""
+    """Documents that score 0.5 or more go.
+
+    Null and empty texts score as the labelled texts without marks do and stay; repeated rows stay or go together.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go; every document stays, n_chars is counted again."""
+    """Repeated multi-line chunks go; every document stays, n_chars is counted again.
+
+    A null text stays null (n_chars null).  Rows with a null doc_id keep their texts, and so do rows that repeat a doc_id among themselves.
+    """
     out = dedup_lines(docs).drop("n_lines", "n_lines_removed")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the document with the smallest id stays."""
+    """Of each group of near copies (five words, 0.8) the document with the smallest id stays.
+
+    Texts without words and rows with a null doc_id are copies of nothing and stay; all rows of a doc_id stay or go together.
+    """
     gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
     # always by merge: what goes grows with the documents
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, also a re-parameterised one, go."""
+    """Documents that hold a benchmark item, also a re-parameterised one, go.
+
+    Null and empty texts hold none and stay, as do all documents where the benchmark is empty; a row with a null doc_id goes like others.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and whether decoding gives its text again."""
+    """Token ids of each document, and whether decoding gives its text again.
+
+    Null and empty texts have no tokens; one row for each row of docs, a null doc_id stays null.
+    """
     return encode_documents(docs)
 
 
