@@ -10,7 +10,7 @@ Every example votes, weighted by closeness, and votes are shrunk towards the rat
 like most documents, have none of the terms.
 
 The cosine covers marker terms only, not all words: the README has the figures of the whole
-vocabulary, which misses three times as many toxic texts and takes thirty times as long.
+vocabulary, which misses two to three times as many toxic texts and takes about twenty times as long.
 
 Scale: the model (terms, example vectors) comes from at most ``MAX_EXAMPLES``
 labelled ids, one text for each, and so has a fixed bound; everything else is one pass over the
