@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +17,22 @@ from .schema import TABLES, ordinals, schema
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one where the master is local."""
+    """A new folder that driver and executors share, gone at exit: below spark.checkpoint.dir, or a temporary one where the master is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='asterism-')).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{(base or tempfile.gettempdir()).rstrip('/')}/asterism-{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  the session is gone already
+        if "://" not in path:
+            shutil.rmtree(path, ignore_errors=True)
 
 
 def parquet_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -69,10 +81,13 @@ def int32_columns(spark: SparkSession, directory: str, table: str, columns: Sequ
 
 def write_int32_columns(df: DataFrame, directory: str, table: str) -> None:
     """The driver writes a table in that format, one Arrow batch after the other; for tests and for moving tables of a size that it can hold."""
+    from pyarrow import fs
+
     place = {name: i for i, name in ordinals(table).items()}
-    Path(directory).mkdir(parents=True, exist_ok=True)
+    system, top = fs.FileSystem.from_uri(directory)
+    system.create_dir(top)
     held = df.toArrow()
     for name in df.columns:
-        with open(f"{directory}/{table.upper()}{place[name]}", "wb") as f:
+        with system.open_output_stream(f"{top}/{table.upper()}{place[name]}") as f:
             for chunk in held[name].chunks:
                 f.write(chunk.cast("int32").to_numpy(zero_copy_only=False).astype("<i4").tobytes())

@@ -208,6 +208,8 @@ def test_int32_round_trip(spark, tmp_path):
     # ranges of rows, in file order, with columns side by side
     assert [tuple(r) for r in int32_columns(spark, f"file://{tmp_path}", "supplier", ["s_city", "s_suppkey"], rows=3).collect()] == [(b, a) for a, b in rows]
     assert int32_columns(spark, str(tmp_path), "supplier", ["s_city"], rows=1).rdd.getNumPartitions() == 4
+    write_int32_columns(spark.createDataFrame(rows, "s_suppkey int, s_city int"), f"file://{tmp_path}/by uri".replace(" ", "_"), "supplier")
+    assert (tmp_path / "by_uri" / "SUPPLIER0").stat().st_size == 16
     empty = tmp_path / "none"
     write_int32_columns(spark.createDataFrame([], "s_suppkey int, s_city int"), str(empty), "supplier")
     assert int32_columns(spark, str(empty), "supplier", ["s_suppkey", "s_city"]).isEmpty()
