@@ -93,6 +93,52 @@ def lines(rows, least=2):
     return out
 
 
+def cut_again(filled, seed):
+    """Runs of the filled lines in a further chunking: a run of two or more ends but for one time in four, at 16 always, a run of one in the fourth time."""
+
+    def h(line):
+        return int.from_bytes(hashlib.blake2b(line, digest_size=8).digest(), "little")
+
+    out, run = [], []
+    for k, line in enumerate(filled):
+        run.append(k)
+        two = ((h(filled[k - 1]) if k else 0) * 0x9E3779B97F4A7C15 + h(line) + seed * 0xD6E8FEB86659FD93) % 2**64
+        spread = ((two ^ two >> 29) * 0xBF58476D1CE4E5B9) % 2**64 >> 40
+        if len(run) == 16 or (len(run) > 1) == (spread % 4 > 0):
+            out.append(run)
+            run = []
+    return [*out, run]
+
+
+def lines_of_many(rows, chunkings):
+    """As lines(), with further chunkings whose chunks count where a smaller doc_id has an equal chunk of any chunking."""
+    first, spans, within = {}, {}, {}
+    for i, t in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
+        own = t.encode().split(b"\n")
+        filled = [k for k, x in enumerate(own) if x.strip()]
+        here = [(a, b) for a, b in cut(t.encode()) if sum(1 for x in own[a:b] if x.strip()) >= 2]
+        seen = set()
+        for a, b in here:
+            body = b"\n".join(own[a:b])
+            if body in seen:
+                within.setdefault(i, []).append((a, b))
+            seen.add(body)
+        for seed in range(1, chunkings):
+            here += [(filled[r[0]], filled[r[-1]] + 1) for r in cut_again([own[k] for k in filled], seed) if len(r) >= 2]
+        spans[i] = here
+        for a, b in here:
+            first.setdefault(b"\n".join(own[a:b]), i)
+    out = {}
+    for i, t in rows:
+        own = (t or "").encode().split(b"\n")
+        gone = set()
+        for a, b in spans.get(i, []):
+            if first[b"\n".join(own[a:b])] < i or (a, b) in within.get(i, []):
+                gone.update(range(a, b))
+        out[i] = b"\n".join(x for k, x in enumerate(own) if k not in gone).decode()
+    return out
+
+
 def weighted_jaccard(a, b):
     x, y = Counter(a.encode().split()), Counter(b.encode().split())
     keys = x.keys() | y.keys()

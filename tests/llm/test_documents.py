@@ -1,6 +1,7 @@
 """Operators on documents against plain versions, with odd rows."""
 
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -240,6 +241,48 @@ def test_lines(docs, corpus):
     assert sum(r.n_lines_removed for r in got.values()) > 50
 
 
+@pytest.mark.parametrize("chunkings", [1, 2, 12])
+def test_lines_of_several_chunkings(spark, docs, corpus, chunkings):
+    rng = random.Random(chunkings)
+    said = [f"line {i} " + "word " * rng.randint(0, 9) for i in range(40)]
+    short = [(1000 + i, "\n".join(rng.choice([*said, "", "  "]) for _ in range(rng.randint(1, 60)))) for i in range(120)]
+    rows = [r for r in corpus if r[0] is not None] + short
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(short, "doc_id long, text string")).repartition(7)
+    expected = brute.lines_of_many(rows, chunkings)
+    got = {r.doc_id: r for r in dedup_lines(df, chunkings).where("doc_id is not null").collect()}
+    text = dict(rows)
+    assert {i: r.text for i, r in got.items()} == {i: None if t is None else expected[i] for i, t in rows}
+    assert all(r.n_lines_removed == r.n_lines - (0 if text[i] is None else len((r.text or "").split("\n")) if r.n_lines_removed < r.n_lines else 0) for i, r in got.items())
+    if chunkings == 1:
+        assert expected == brute.lines(rows)
+
+
+def test_short_passages_of_lines(spark):
+    """A passage of four lines goes from nearly all documents that repeat it, whole."""
+    rng = random.Random(5)
+    own = lambda n: [f"{rng.random()} of its own" for _ in range(n)]
+    passage = [f"line {i} of the passage " + "word " * 12 for i in range(4)]
+    rows = [(i, "\n".join(own(rng.randint(1, 9)) + passage + own(rng.randint(1, 9)))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text.split("\n") for r in dedup_lines(df, 12).collect()}
+    left = [sum(x in got[i] for x in passage) for i, _ in rows]
+    assert left[0] == 4 and sum(n == 0 for n in left) > 190
+    assert all(x in got[i] for i, t in rows for x in t.split("\n") if x not in passage)
+
+
+def test_rows_of_one_hash(spark):
+    """Only equal bytes go where chunks share a hash, over batches of any size."""
+    from asterism.llm.lines import _compare, _repeated
+
+    rows = sorted([(1, 5, 0, 0), (1, 7, 0, 0), (1, 7, 8, 0), (1, 9, 0, 0), (2, 3, 0, 0), (3, 1, 0, 0), (3, 1, 4, 0), (4, 1, 2, 0), (4, 2, 2, 0), (4, 3, 0, 2)])
+    for size in (1, 2, 3, 20):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(("key", "doc_id", "unit", "state"), r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        got = sorted(tuple(r.values()) for b in _repeated(iter(batches)) for r in b.to_pylist())
+        assert got == [(1, 5, 0, 0), (1, 7, 0, 1), (1, 7, 8, 1), (1, 9, 0, 1), (4, 1, 2, 0), (4, 2, 2, 1), (4, 3, 0, 2)]
+    made = pa.RecordBatch.from_pylist([{"key": 1, "doc_id": d, "unit": 0, "body": b} for d, b in ((1, b"x"), (2, b"y"), (3, b"x"), (4, b"y"))])
+    assert [r["doc_id"] for b in _compare(iter([made])) for r in b.to_pylist()] == [3, 4]
+
+
 def test_chunks_are_a_partition_and_shift(corpus):
     for _, t in corpus:
         ranges = chunks((t or "").encode())
