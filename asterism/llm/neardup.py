@@ -11,7 +11,8 @@ every link (but for a chance below 2e-6 for each pair at the threshold itself),
 their members' full shingle sets are fetched once and compared exactly.
 
 Scale: documents with equal sets are one class from the start, so copies cost
-one row each and no pairs.  Long lists and large components are dealt in blocks of
+one row each and no pairs; copies of classes that hold more than a ten-thousandth of all
+documents learn their component where they stand.  Long lists and large components are dealt in blocks of
 bounded size and linked in two rounds: first within blocks, members of components in
 two blocks each, so that what is linked grows together; then
 across blocks, where only members that are still apart are compared, and blocks of one
@@ -38,6 +39,8 @@ COORDINATES, POSTED, MISS = 64, 24, 1e-6
 LIST_BLOCK, SET_BLOCK, SET_TOTAL = 1024, 512, 400_000
 #: The weight of a full block.
 UNIT = 1_000_000
+#: Classes of equal sets are hot from this share of all documents on: there can be no more of them than so many.
+HOT_CLASSES, HOT_COPIES = 10_000, 1000
 _CHUNK = 1 << 20
 _ODD = seeds(4 * COORDINATES, 11).astype(np.uint32) | np.uint32(1)
 
@@ -372,9 +375,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = _stars(parts).union(_across(_labelled(large, parts).withColumn("weight", weight), n, "near").mapInArrow(confirm, "a long, b long"))
 
     linked = S.components(links)
-    copies = classes.where("copies > 1").select("digest", "rep")
-    # an empty set has no copies and meets nothing: it goes by its own id
-    key = F.when(F.col("n") > 0, F.col("digest")).otherwise(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    out = rows.select("doc_id", "n", key.alias("digest")).join(copies, "digest", "left").withColumn("node", F.coalesce("rep", "doc_id")).join(linked, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    # a class that has copies or links, with its component; all other documents are their own
+    named = classes.join(linked, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).where("copies > 1 or component != rep")
+    named, _ = S.written(named.select("digest", "component", "copies"), "named")
+    # classes with this share of all documents are at most HOT_CLASSES, so they are sent to all; their copies don't meet in one task
+    least = max(HOT_COPIES, (classes.agg(F.sum("copies")).first()[0] or 0) // HOT_CLASSES)
+    hot = named.where(F.col("copies") >= least).select("digest", F.col("component").alias("hot"))
+    cold = named.where(F.col("copies") < least).select(F.col("digest").alias("key"), "component")
+    own = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "digest").join(F.broadcast(hot), "digest", "left")
+    own = own.withColumn("key", F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.col("doc_id").cast("string").cast("binary")))
+    own = own.join(cold.hint("merge"), "key", "left").select("doc_id", "n", F.coalesce("hot", "component", "doc_id").alias("component"))
+    # empty sets and rows without an id meet nothing
+    out = own.union(rows.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))

@@ -227,6 +227,21 @@ def test_near_duplicates_repeated_rows(spark):
     assert sorted(map(tuple, near_duplicates(df, 4).collect())) == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (3, 1, 3, True)]
 
 
+@pytest.mark.parametrize("classes, copies", [(10_000, 1), (10_000, 3), (3, 1)])
+def test_hot_classes(docs, corpus, monkeypatch, classes, copies):
+    """Copies of hot classes, which don't meet in one task, get the component that others get."""
+    from asterism.llm import neardup
+
+    monkeypatch.setattr(neardup, "HOT_CLASSES", classes)
+    monkeypatch.setattr(neardup, "HOT_COPIES", copies)
+    spark = docs.sparkSession
+    text = next(t for i, t in corpus if i == 200)
+    many = [(2000 + i, text if i % 3 else text + " end") for i in range(90)] + [(3000 + i, None if i % 2 else "  ") for i in range(20)]
+    got = near_duplicates(docs.select("doc_id", "text").union(spark.createDataFrame(many, "doc_id long, text string"))).collect()
+    assert {tuple(r) for r in got if r.doc_id is not None} == brute.near([*corpus, *many], 5)
+    assert len(got) == len(corpus) + len(many) and all(r.kept and r.component_id is None for r in got if r.doc_id is None)
+
+
 # --- 2 ---
 
 
