@@ -1,12 +1,15 @@
 """Files of raw little-endian 32-bit integers, one for each column, as a data source of ranges of rows.
 
 A task reads the same range of rows from each column's file and gives them as Arrow batches, so
-columns stay side by side without a join, and files of any size are read in parallel.
+columns stay side by side without a join, and files of any size are read in parallel.  Such a file
+has one writer, as most file systems ask for: a task copies one column of a stored table, batch by batch.
 """
 
 from __future__ import annotations
 
+import re
 import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,13 @@ ROWS, BATCH = 4 << 20, 64 << 10
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have this package
 
 
+def filesystem(path: str):
+    """Of a path or URI, with the path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
+
+
 @dataclass
 class Rows(InputPartition):
     first: int
@@ -33,16 +43,10 @@ class Int32Reader(DataSourceReader):
     def __init__(self, paths: list[str], names: list[str], rows: int):
         self.paths, self.names, self.rows = paths, names, rows
 
-    def _open(self, path: str):
-        from pyarrow import fs
-
-        system, name = fs.FileSystem.from_uri(path)
-        return system, name
-
     def partitions(self) -> list[Rows]:
         sizes = set()
         for path in self.paths:
-            system, name = self._open(path)
+            system, name = filesystem(path)
             size = system.get_file_info(name).size
             if size is None or size % WIDTH:
                 raise ValueError(f"{path}: no file of whole 32-bit integers")
@@ -55,7 +59,7 @@ class Int32Reader(DataSourceReader):
     def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
         files = []
         for path in self.paths:
-            system, name = self._open(path)
+            system, name = filesystem(path)
             files.append(system.open_input_file(name))
         try:
             for at in range(part.first, part.first + part.count, BATCH):
@@ -81,6 +85,36 @@ class Int32Columns(DataSource):
         return Int32Reader(self.options["paths"].split("\n"), self.options["names"].split("\n"), int(self.options.get("rows", ROWS)))
 
 
+def stored(path: str) -> list[str]:
+    """The files of a Parquet table that Spark wrote, in the order of their partitions."""
+    from pyarrow import fs
+
+    system, name = filesystem(path)
+    found = {m: x.path for x in system.get_file_info(fs.FileSelector(name)) if (m := re.fullmatch(r"part-(\d+)-.*-c(\d+)\..*", x.base_name))}
+    return [found[m] for m in sorted(found, key=lambda m: (int(m[1]), int(m[2])))]
+
+
+def copy_column(directory: str, files: list[str], name: str) -> tuple[str, str, int]:
+    """Copies a column of these Parquet files to a new file of int32 values; gives its name, the file's path and how many rows it has.
+
+    A try of a task writes a file of its own, so tries that fail or that run twice leave none half written.
+    """
+    import pyarrow.parquet as pq
+
+    system, top = filesystem(directory)
+    path, rows = f"{top}/{name}-{uuid.uuid4().hex[:12]}", 0
+    with system.open_output_stream(path) as out:
+        for file in files:
+            with system.open_input_file(file) as f:
+                for batch in pq.ParquetFile(f).iter_batches(BATCH, columns=[name], use_threads=False):
+                    values = batch.column(0)
+                    if values.null_count:
+                        raise ValueError(f"{name}: null is no 32-bit integer")
+                    out.write(values.cast("int32").to_numpy(zero_copy_only=False).astype("<i4", copy=False).tobytes())
+                    rows += len(values)
+    return name, path, rows
+
+
 def registered(spark: SparkSession) -> str:
     """The source's name in a session: sessions of one application see each other's names, but not their sources."""
     name = f"{NAME}_{spark._jsparkSession.sessionUUID().replace('-', '')}"

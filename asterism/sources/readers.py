@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import shutil
 import tempfile
@@ -80,14 +81,37 @@ def int32_columns(spark: SparkSession, directory: str, table: str, columns: Sequ
 
 
 def write_int32_columns(df: DataFrame, directory: str, table: str) -> None:
-    """The driver writes a table in that format, one Arrow batch after the other; for tests and for moving tables of a size that it can hold."""
-    from pyarrow import fs
+    """A table in that format, rows in df's order, however large: none of them passes the driver.
 
-    place = {name: i for i, name in ordinals(table).items()}
-    system, top = fs.FileSystem.from_uri(directory)
+    The executors store df as Parquet in the directory, then one task for each column copies it to the
+    column's file; a file takes its place when all are whole, and the stored table goes.  Nulls and
+    values of more than 32 bits are errors.
+    """
+    spark, place = df.sparkSession, {name: i for i, name in ordinals(table).items()}
+    targets = {name: f"{table.upper()}{place[name]}" for name in df.columns}
+    system, top = int32.filesystem(directory)
     system.create_dir(top)
-    held = df.toArrow()
-    for name in df.columns:
-        with system.open_output_stream(f"{top}/{table.upper()}{place[name]}") as f:
-            for chunk in held[name].chunks:
-                f.write(chunk.cast("int32").to_numpy(zero_copy_only=False).astype("<i4").tobytes())
+    stage = f"{f'file://{top}' if system.type_name == 'local' else directory}/.{table}-{uuid.uuid4().hex[:12]}"
+    try:
+        _store(df, f"{stage}/rows")
+        copy = functools.partial(int32.copy_column, stage, int32.stored(f"{stage}/rows"))
+        made = spark.sparkContext.parallelize(df.columns, len(df.columns)).map(copy).collect()
+        if len({rows for _, _, rows in made}) > 1:
+            raise ValueError(f"columns differ in length: {made}")
+        for name, path, _ in made:
+            if system.get_file_info(target := f"{top}/{targets[name]}").is_file:
+                system.delete_file(target)
+            system.move(path, target)
+    finally:
+        _remove(spark, stage)
+
+
+def _store(df: DataFrame, path: str) -> None:
+    """Writes df as Parquet; its shuffle files go at once, not when the driver next collects its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(key, before)

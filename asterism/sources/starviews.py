@@ -116,14 +116,16 @@ class Star:
 
         own = [c for c in wanted if not fact[c][0]]
         orders, part = ([c for c in wanted if fact[c][0] == t] for t in ("orders", "part"))
-        keys = [F.col(k) for k, needed in (("l_orderkey", orders), ("l_partkey", part)) if needed]
+        # a key that is asked for finds the parent itself, so that shuffles carry it once
+        order_key, part_key = ("lo_orderkey" if "lo_orderkey" in own else "l_orderkey"), ("lo_partkey" if "lo_partkey" in own else "l_partkey")
+        keys = [k for k, needed in ((order_key, orders), (part_key, part)) if needed and k not in own]
 
         def late(df: DataFrame) -> DataFrame:
             if orders:
-                df = df.join(base("orders").select("o_orderkey", *[fact[c][1].alias(c) for c in orders]), F.col("l_orderkey") == F.col("o_orderkey"))
+                df = df.join(base("orders").select("o_orderkey", *[fact[c][1].alias(c) for c in orders]), F.col(order_key) == F.col("o_orderkey"))
             if part:
-                df = df.join(base("part").select(F.col("p_partkey").alias("l_part"), *[fact[c][1].alias(c) for c in part]), F.col("l_partkey") == F.col("l_part"))
-            return df.drop("l_orderkey", "o_orderkey", "l_partkey", "l_part") if keys else df
+                df = df.join(base("part").select(F.col("p_partkey").alias("l_part"), *[fact[c][1].alias(c) for c in part]), F.col(part_key) == F.col("l_part"))
+            return df.drop(*keys, "o_orderkey", "l_part")
 
         return StarQuery(base("lineitem").select(*keys, *[fact[c][1].alias(c) for c in own]), late=late, late_columns=(*orders, *part))
 

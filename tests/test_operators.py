@@ -1,6 +1,7 @@
 """Operators on small frames, one decision each."""
 
 import itertools
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,6 +219,47 @@ def test_int32_round_trip(spark, tmp_path):
         int32_columns(spark, str(tmp_path), "supplier", ["s_suppkey", "s_city"]).collect()
 
 
+def _no_rows_on_the_driver(monkeypatch, df):
+    def held(self, *a, **b):
+        raise MemoryError("rows on the driver")
+
+    for name in ("toArrow", "toPandas", "toLocalIterator", "collect"):
+        monkeypatch.setattr(type(df), name, held)
+
+
+def test_int32_files_are_written_by_executors(spark, tmp_path, monkeypatch):
+    rows = [(i, i * 7 % 1000 - 500) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "s_suppkey int, s_city int").repartitionByRange(12, "s_suppkey").sortWithinPartitions("s_suppkey")
+    with monkeypatch.context() as m:
+        _no_rows_on_the_driver(m, df)
+        write_int32_columns(df, str(tmp_path), "supplier")
+    # partitions in their order, columns side by side, nothing left beside the two files
+    for file, at in (("SUPPLIER0", 0), ("SUPPLIER3", 1)):
+        assert (tmp_path / file).read_bytes() == b"".join(r[at].to_bytes(4, "little", signed=True) for r in rows)
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["SUPPLIER0", "SUPPLIER3"]
+    # what the format has no value for is an error, and the files stay as they were
+    for bad in (None, 2**31):
+        with pytest.raises(Exception, match="null is no 32-bit integer|not in range"):
+            write_int32_columns(spark.createDataFrame([(1, 1), (2, bad)], "s_suppkey int, s_city long"), str(tmp_path), "supplier")
+    assert int32_columns(spark, str(tmp_path), "supplier", ["s_suppkey", "s_city"]).count() == 10_000
+    write_int32_columns(df.limit(3), str(tmp_path), "supplier")
+    assert (tmp_path / "SUPPLIER3").stat().st_size == 12 and len(list(tmp_path.iterdir())) == 2
+
+
+@pytest.mark.parametrize("name", ["files_int32_q11"])
+def test_int32_queries_hold_no_rows_on_the_driver(spark, data, monkeypatch, name):
+    with monkeypatch.context() as m:
+        _no_rows_on_the_driver(m, spark.range(1))
+        df = queries()[name](spark, data)
+    assert df.count() > 0
+
+
+def test_the_fact_view_shuffles_a_key_once(spark, data):
+    plan = Star(spark, data).lineorder()._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS lo_orderkey" in plan and "AS lo_partkey" in plan
+    assert not any(re.search(r"\bl_(order|part)key#\d+L?[,\]]", x) for x in plan.split("\n") if "AS lo_" in x)
+
+
 @pytest.mark.parametrize("form", ["int32", "coded", "strings"])
 def test_the_benchmarks_own_files(spark, data, tmp_path, form):
     """All queries over files give what they give over the tables; SQL text, too."""
