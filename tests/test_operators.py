@@ -246,7 +246,7 @@ def test_int32_files_are_written_by_executors(spark, tmp_path, monkeypatch):
     assert (tmp_path / "SUPPLIER3").stat().st_size == 12 and len(list(tmp_path.iterdir())) == 2
 
 
-@pytest.mark.parametrize("name", ["files_int32_q11", "files_int32_q21", "files_int32_q31", "int32_columns"])
+@pytest.mark.parametrize("name", ["files_int32_q11", "files_int32_q21", "files_int32_q31", "files_int32_q41", "int32_columns"])
 def test_int32_queries_hold_no_rows_on_the_driver(spark, data, monkeypatch, name):
     with monkeypatch.context() as m:
         _no_rows_on_the_driver(m, spark.range(1))
