@@ -260,6 +260,24 @@ def test_the_fact_view_shuffles_a_key_once(spark, data):
     assert not any(re.search(r"\bl_(order|part)key#\d+L?[,\]]", x) for x in plan.split("\n") if "AS lo_" in x)
 
 
+def test_the_fact_table_as_int32_goes_through_joins_in_pairs(spark, data):
+    from asterism.sources.saved import _fact_int32
+    from asterism.sources.starviews import FACT_COLUMNS
+
+    df, expected = _fact_int32(Star(spark, data), FACT_COLUMNS), Star(spark, data).lineorder()
+    assert df.columns == list(FACT_COLUMNS) and {k for _, k in df.dtypes} == {"int"}
+    assert df.exceptAll(expected.select(*[C(c).cast("int") for c in FACT_COLUMNS])).isEmpty() and df.count() == expected.count()
+    # any two int32 values come back from their pair
+    least, most = -(2**31), 2**31 - 1
+    rows = [(a, b) for a in (least, -1, 0, 1, most) for b in (least, -1, 0, 1, most)]
+
+    class Two(Star):
+        def query(self, columns, bounds=()):
+            return StarQuery(spark.createDataFrame(rows, "lo_quantity long, lo_discount long"))
+
+    assert [tuple(r) for r in _fact_int32(Two(spark, data), ["lo_quantity", "lo_discount"]).collect()] == rows
+
+
 @pytest.mark.parametrize("form", ["int32", "coded", "strings"])
 def test_the_benchmarks_own_files(spark, data, tmp_path, form):
     """All queries over files give what they give over the tables; SQL text, too."""
