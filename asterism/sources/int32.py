@@ -1,7 +1,8 @@
-"""Files of raw little-endian 32-bit integers, one for each column, as a data source of ranges of rows.
+"""Files of raw little-endian 32-bit integers, one for each column, read in ranges of rows.
 
 A task reads the same range of rows from each column's file and gives them as Arrow batches, so
-columns stay side by side without a join, and files of any size are read in parallel.  Such a file
+columns stay side by side without a join, and files of any size are read in parallel.  The driver
+looks up the files' lengths and starts no Python workers, as it would for a Python data source.  Such a file
 has one writer, as most file systems ask for: a task copies one column of a stored table, batch by batch.
 """
 
@@ -11,15 +12,11 @@ import re
 import sys
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-NAME = "int32_columns"
 WIDTH = 4
 ROWS, BATCH = 4 << 20, 64 << 10
 
@@ -33,56 +30,37 @@ def filesystem(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-@dataclass
-class Rows(InputPartition):
-    first: int
-    count: int
-
-
-class Int32Reader(DataSourceReader):
-    def __init__(self, paths: list[str], names: list[str], rows: int):
-        self.paths, self.names, self.rows = paths, names, rows
-
-    def partitions(self) -> list[Rows]:
-        sizes = set()
-        for path in self.paths:
-            system, name = filesystem(path)
-            size = system.get_file_info(name).size
-            if size is None or size % WIDTH:
-                raise ValueError(f"{path}: no file of whole 32-bit integers")
-            sizes.add(size // WIDTH)
-        if len(sizes) > 1:
-            raise ValueError(f"column files differ in length: {sorted(sizes)}")
-        n = sizes.pop()
-        return [Rows(at, min(self.rows, n - at)) for at in range(0, n, self.rows)] or [Rows(0, 0)]
-
-    def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
-        files = []
-        for path in self.paths:
+def ranges(paths: list[str], rows: int) -> list[tuple[int, int]]:
+    """First row and count of ranges of so many rows, which these files of one column each have together."""
+    sizes = set()
+    for path in paths:
+        system, name = filesystem(path)
+        size = system.get_file_info(name).size
+        if size is None or size % WIDTH:
+            raise ValueError(f"{path}: no file of whole 32-bit integers")
+        sizes.add(size // WIDTH)
+    if len(sizes) > 1:
+        raise ValueError(f"column files differ in length: {sorted(sizes)}")
+    n = sizes.pop()
+    return [(at, min(rows, n - at)) for at in range(0, n, rows)] or [(0, 0)]
+
+
+def read(paths: list[str], names: list[str], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns' values in ranges (first, count) of rows."""
+    files = []
+    try:
+        for path in paths:
             system, name = filesystem(path)
             files.append(system.open_input_file(name))
-        try:
-            for at in range(part.first, part.first + part.count, BATCH):
-                n = min(BATCH, part.first + part.count - at)
-                columns = [pa.array(np.frombuffer(f.read_at(n * WIDTH, at * WIDTH), "<i4")) for f in files]
-                yield pa.RecordBatch.from_arrays(columns, self.names)
-        finally:
-            for f in files:
-                f.close()
-
-
-class Int32Columns(DataSource):
-    """Options: paths and names, separated by newlines, and rows for each task."""
-
-    @classmethod
-    def name(cls) -> str:
-        return NAME
-
-    def schema(self) -> str:
-        return ", ".join(f"`{n}` int" for n in self.options["names"].split("\n"))
-
-    def reader(self, schema) -> Int32Reader:
-        return Int32Reader(self.options["paths"].split("\n"), self.options["names"].split("\n"), int(self.options.get("rows", ROWS)))
+        for part in parts:
+            for first, count in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for at in range(first, first + count, BATCH):
+                    n = min(BATCH, first + count - at)
+                    columns = [pa.array(np.frombuffer(f.read_at(n * WIDTH, at * WIDTH), "<i4")) for f in files]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+    finally:
+        for f in files:
+            f.close()
 
 
 def stored(path: str) -> list[str]:
@@ -113,15 +91,3 @@ def copy_column(directory: str, files: list[str], name: str) -> tuple[str, str,
                     out.write(values.cast("int32").to_numpy(zero_copy_only=False).astype("<i4", copy=False).tobytes())
                     rows += len(values)
     return name, path, rows
-
-
-def registered(spark: SparkSession) -> str:
-    """The source's name in a session: sessions of one application see each other's names, but not their sources."""
-    name = f"{NAME}_{spark._jsparkSession.sessionUUID().replace('-', '')}"
-    if name not in _names:
-        spark.dataSource.register(type(Int32Columns.__name__, (Int32Columns,), {"name": classmethod(lambda cls: name)}))
-        _names.add(name)
-    return name
-
-
-_names: set[str] = set()

@@ -254,6 +254,27 @@ def test_int32_queries_hold_no_rows_on_the_driver(spark, data, monkeypatch, name
     assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["files_int32_q21"])
+def test_int32_queries_start_no_python_on_the_driver(spark, data, monkeypatch, name):
+    """A Python data source is looked up, made and planned by Python workers beside the driver, several for each table."""
+    import psutil
+
+    def sources():
+        return {p.pid for p in psutil.Process().children(recursive=True) if "data_source" in " ".join(p.cmdline())}
+
+    before = sources()
+    df = queries()[name](spark, data)
+    assert df.count() > 0
+    assert not sources() - before and "BatchScan" not in df._jdf.queryExecution().toString()
+
+
+def test_int32_files_are_no_small_table(spark, tmp_path):
+    write_int32_columns(spark.createDataFrame([(1, 2)], "s_suppkey int, s_city int"), str(tmp_path), "supplier")
+    df = int32_columns(spark, str(tmp_path), "supplier", ["s_suppkey", "s_city"])
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert int(str(size)) > 2**50  # of a few ranges of rows nothing is known: not broadcast
+
+
 def test_the_fact_view_shuffles_a_key_once(spark, data):
     plan = Star(spark, data).lineorder()._jdf.queryExecution().optimizedPlan().toString()
     assert "AS lo_orderkey" in plan and "AS lo_partkey" in plan
