@@ -254,7 +254,7 @@ def test_int32_queries_hold_no_rows_on_the_driver(spark, data, monkeypatch, name
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["files_int32_q21", "files_int32_q31", "int32_columns"])
+@pytest.mark.parametrize("name", ["files_int32_q21", "files_int32_q31", "files_int32_q41", "int32_columns"])
 def test_int32_queries_start_no_python_on_the_driver(spark, data, monkeypatch, name):
     """A Python data source is looked up, made and planned by Python workers beside the driver, several for each table."""
     import psutil
