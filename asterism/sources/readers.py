@@ -83,29 +83,47 @@ def int32_columns(spark: SparkSession, directory: str, table: str, columns: Sequ
 
 
 def write_int32_columns(df: DataFrame, directory: str, table: str) -> None:
-    """A table in that format, rows in df's order, however large: none of them passes the driver.
+    """A table in that format, rows in df's order, however large: none of them passes the driver."""
+    write_int32_tables({table: df}, directory)
 
-    The executors store df as Parquet in the directory, then one task for each column copies it to the
-    column's file; a file takes its place when all are whole, and the stored table goes.  Nulls and
-    values of more than 32 bits are errors.
+
+def write_int32_tables(tables: dict[str, DataFrame], directory: str) -> None:
+    """Tables in that format, rows in each one's order.
+
+    The executors store each as Parquet in the directory, then one task for each column copies it to the
+    column's file; files take their place when all of their table are whole, and the stored table goes.
+    The first is copied last: executors are still removing the shuffle files of a table just stored, and
+    copies beside them would take the disk of both.  Nulls and values of more than 32 bits are errors.
     """
-    spark, place = df.sparkSession, {name: i for i, name in ordinals(table).items()}
-    targets = {name: f"{table.upper()}{place[name]}" for name in df.columns}
+    place = {table: {name: i for i, name in ordinals(table).items()} for table in tables}
+    targets = {table: {name: f"{table.upper()}{place[table][name]}" for name in df.columns} for table, df in tables.items()}
     system, top = int32.filesystem(directory)
     system.create_dir(top)
-    stage = f"{f'file://{top}' if system.type_name == 'local' else directory}/.{table}-{uuid.uuid4().hex[:12]}"
+    base = f"file://{top}" if system.type_name == "local" else directory
+    stages = {table: f"{base}/.{table}-{uuid.uuid4().hex[:12]}" for table in tables}
+    spark = next(iter(tables.values())).sparkSession
     try:
-        _store(df, f"{stage}/rows")
-        copy = functools.partial(int32.copy_column, stage, int32.stored(f"{stage}/rows"))
-        made = spark.sparkContext.parallelize(df.columns, len(df.columns)).map(copy).collect()
-        if len({rows for _, _, rows in made}) > 1:
-            raise ValueError(f"columns differ in length: {made}")
-        for name, path, _ in made:
-            if system.get_file_info(target := f"{top}/{targets[name]}").is_file:
-                system.delete_file(target)
-            system.move(path, target)
+        for table, df in tables.items():
+            _store(df, f"{stages[table]}/rows")
+        for table in [*list(tables)[1:], *list(tables)[:1]]:
+            _copy_columns(spark, stages[table], directory, targets[table])
+            _remove(spark, stages[table])
     finally:
-        _remove(spark, stage)
+        for stage in stages.values():
+            _remove(spark, stage)
+
+
+def _copy_columns(spark: SparkSession, stage: str, directory: str, targets: dict[str, str]) -> None:
+    """Columns of the table stored there to their files."""
+    system, top = int32.filesystem(directory)
+    copy = functools.partial(int32.copy_column, stage, int32.stored(f"{stage}/rows"))
+    made = spark.sparkContext.parallelize(list(targets), len(targets)).map(copy).collect()
+    if len({rows for _, _, rows in made}) > 1:
+        raise ValueError(f"columns differ in length: {made}")
+    for name, path, _ in made:
+        if system.get_file_info(target := f"{top}/{targets[name]}").is_file:
+            system.delete_file(target)
+        system.move(path, target)
 
 
 def _store(df: DataFrame, path: str) -> None:

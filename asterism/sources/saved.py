@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import encode
-from .readers import delimited_table, int32_columns, write_delimited, write_int32_columns
+from .readers import delimited_table, int32_columns, write_delimited, write_int32_tables
 from .schema import CODED, schema
 from ..operators.star import StarQuery
 from .starviews import DIMENSIONS, FACT_COLUMNS, Bounds, Star
@@ -137,10 +137,10 @@ def _fact_int32(star: Star, columns: Iterable[str]) -> DataFrame:
 
 def export_star(star: Star, directory: str, form: str = "int32") -> FileStar:
     """Writes a star in the benchmark's own files; columns that no query needs hold 0 or ``-`` as text and are left out as int32."""
+    if form == "int32":
+        write_int32_tables({name: _fact_int32(star, used) if name == "lineorder" else star.dimension(name).select(*[F.col(c).cast("int") for c in used]) for name, used in USED.items()}, directory)
+        return FileStar(star.spark, directory, form)
     for name, used in USED.items():
-        if form == "int32":
-            write_int32_columns(_fact_int32(star, used) if name == "lineorder" else star.dimension(name).select(*[F.col(c).cast("int") for c in used]), directory, name)
-            continue
         df = star.lineorder(used) if name == "lineorder" else star.dimension(name)
         kinds = schema(name, coded=form == "coded")
 

@@ -254,6 +254,20 @@ def test_int32_queries_hold_no_rows_on_the_driver(spark, data, monkeypatch, name
     assert df.count() > 0
 
 
+@pytest.mark.parametrize("name", ["files_int32_q31", "files_int32_q41", "int32_columns"])
+def test_int32_queries_copy_the_fact_table_last(spark, data, monkeypatch, name):
+    """Spark removes a stored table's shuffle files while it goes on; the large table's copies must not stand beside them."""
+    from asterism.sources import int32, readers
+
+    done, store, stored = [], readers._store, int32.stored
+    table = lambda path: re.search(r"/\.(\w+)-\w+/rows$", path)[1]
+    monkeypatch.setattr(readers, "_store", lambda df, path: (done.append(("store", table(path))), store(df, path)))
+    monkeypatch.setattr(int32, "stored", lambda path: (done.append(("copy", table(path))), stored(path))[1])
+    assert queries()[name](spark, data).count() > 0
+    assert done[0] == ("store", "lineorder") and done[-1] == ("copy", "lineorder")
+    assert {k for k, _ in done[:5]} == {"store"} and len(done) == 10
+
+
 @pytest.mark.parametrize("name", ["files_int32_q21", "files_int32_q31", "files_int32_q41", "int32_columns"])
 def test_int32_queries_start_no_python_on_the_driver(spark, data, monkeypatch, name):
     """A Python data source is looked up, made and planned by Python workers beside the driver, several for each table."""
